@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from chunkloom.llm.bpe import op2_bpe
+from chunkloom.llm.langid import op1_language
 from chunkloom.llm.mixing import op4_mixing
+from chunkloom.llm.quality import op8_quality
 from chunkloom.llm.secrets import op10_secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op2_bpe, op4_mixing, op10_secrets)}
+    return {q.__name__: q for q in (op1_language, op2_bpe, op4_mixing, op8_quality, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
