@@ -10,12 +10,13 @@ from chunkloom.llm.bpe import op2_bpe
 from chunkloom.llm.langid import op1_language
 from chunkloom.llm.licenses import op7_licenses
 from chunkloom.llm.mixing import op4_mixing
+from chunkloom.llm.ngram_join import op9_ngram_join
 from chunkloom.llm.quality import op8_quality
 from chunkloom.llm.secrets import op10_secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_language, op2_bpe, op4_mixing, op7_licenses, op8_quality, op10_secrets)}
+    return {q.__name__: q for q in (op1_language, op2_bpe, op4_mixing, op7_licenses, op8_quality, op9_ngram_join, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
