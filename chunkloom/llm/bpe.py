@@ -133,7 +133,11 @@ class Automaton:
     @classmethod
     def read(cls, path: str) -> Automaton:
         with open(path, encoding="utf-8") as f:
-            d = json.load(f)
+            return cls.parse(f.read())
+
+    @classmethod
+    def parse(cls, text: str) -> Automaton:
+        d = json.loads(text)
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in d["model"]["merges"]]
         return cls(d["model"]["vocab"], merges, {t["content"]: t["id"] for t in d["added_tokens"]})
 
@@ -277,17 +281,17 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded where keep_ids). The automaton is compiled once and
-    broadcast: its size is that of the vocabulary, not of the data."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(Automaton.read(tokenizer_path))
-    name = f"{tokenizer_path}|{spark.sparkContext.applicationId}"
+    """id, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded where keep_ids). The merges are broadcast (1.7 MB) and each
+    Python worker compiles its automaton once, for as long as it lives: its arcs (92 MB) are not worth sending."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name = hashlib.sha256(shared.value.encode()).hexdigest()
         encoder = _ENCODERS.get(name)
         if encoder is None:
-            encoder = _ENCODERS[name] = Encoder(shared.value)
+            encoder = _ENCODERS[name] = Encoder(Automaton.parse(shared.value))
         for pdf in batches:
             rows = []
             for n, ids, decoded in encoder.encode_batch([t if isinstance(t, str) else "" for t in pdf[text_col].tolist()]):
