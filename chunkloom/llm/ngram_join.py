@@ -278,11 +278,14 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that are near-copies of one with a smaller id; one row of each group stays (rows that
-    repeat that id: one of them, the first in the order of all their columns)."""
-    kept = jaccard_groups(docs, id_col, text_col).filter("kept").select(id_col).distinct()
-    named = docs.join(kept.select(F.col(id_col).alias("_j_id")), docs[id_col].eqNullSafe(F.col("_j_id")), "left_semi")
-    return named.dropDuplicates([id_col])
+    """docs without the rows that are near-copies of one with a smaller id; one row of each group stays. Where ids repeat,
+    rows that repeat both id and text leave one."""
+    groups = cut(jaccard_groups(docs, id_col, text_col))
+    kept = groups.filter("kept").select(F.col(id_col).alias("_j_id")).distinct()
+    small = kept.count() <= BROADCAST_ROWS
+    out = docs.join(F.broadcast(kept) if small else kept, docs[id_col].eqNullSafe(F.col("_j_id")), "left_semi")
+    repeated = not groups.groupBy(id_col).count().filter("count > 1").isEmpty()
+    return out.dropDuplicates([id_col, text_col]) if repeated else out
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
