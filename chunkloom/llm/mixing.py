@@ -3,7 +3,7 @@
 Every document of a source starts with the same fractional number of copies, target / source size. Its whole part is
 taken; the fractional parts meet in pairs, and each meeting moves mass (words, so that copies x size is conserved) at
 random from one to the other until one of them is integral. The expected copies of a document never change, and the
-words of a source change only when the very last fraction of the source is rounded. Meetings run in chunks of a source
+words of a source change only when the very last fraction of the source is rounded, which others then make up for. Meetings run in chunks of a source
 and then over the chunks' residuals, in a tree whose nodes hold at most FAN_IN residuals, so no task sees a whole source.
 
 Defined results: null text and empty text have size 0 and are taken 0 words; a null source is a source of its own (last
@@ -77,17 +77,31 @@ def _fold(mass: np.ndarray, room: np.ndarray, draws: np.ndarray) -> np.ndarray:
     return np.array(mass)
 
 
+def _settle(mass: np.ndarray, room: np.ndarray, draw: float) -> np.ndarray:
+    """Rounds the last fraction at random, and turns other documents over, the largest that fit first, until what this
+    added or took is made up for but for less than the smallest of them."""
+    inside = np.flatnonzero((mass > 0) & (mass < room))
+    if not len(inside):
+        return mass
+    (i,) = inside
+    up = draw * room[i] < mass[i]
+    off = room[i] - mass[i] if up else -mass[i]
+    mass[i] = room[i] if up else 0.0
+    for j in np.argsort(-room, kind="stable"):
+        if j != i and 0 < room[j] <= abs(off) and (mass[j] > 0) == (off > 0):
+            mass[j] = room[j] - mass[j]
+            off += room[j] if mass[j] > 0 else -room[j]
+    return mass
+
+
 def _round_node(pdf: pd.DataFrame, seed: int, level: int, last: bool) -> pd.DataFrame:
-    pdf = pdf.sort_values(["_m_id", "_m_hash", "_m_size"], kind="stable", na_position="last", ignore_index=True)
+    # large documents meet first, so that what stays fractional is small
+    pdf = pdf.sort_values(["_m_room", "_m_id", "_m_hash"], kind="stable", na_position="last", ignore_index=True, ascending=[False, True, True])
     name = f"{seed}|{level}|{pdf['_m_source'].iat[0]}|{pdf['_m_node'].iat[0]}"
     draws = np.random.default_rng(int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "big")).random(len(pdf) + 1)
     room = pdf["_m_room"].to_numpy(float)
     mass = _fold(pdf["_m_mass"].to_numpy(float), room, draws[:-1])
-    if last:
-        inside = np.flatnonzero((mass > 0) & (mass < room))
-        for i in inside:  # at most one
-            mass[i] = room[i] if draws[-1] * room[i] < mass[i] else 0.0
-    return pdf.assign(_m_mass=mass)
+    return pdf.assign(_m_mass=_settle(mass, room, draws[-1]) if last else mass)
 
 
 def _node_rounder(seed: int, level: int, last: bool):
@@ -96,7 +110,7 @@ def _node_rounder(seed: int, level: int, last: bool):
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """One row per unit: _m_id, _m_source, _m_hash (of the text), _m_rows, size, source_size, target, copies."""
-    narrow = docs.select(F.col(id_col).alias("_m_id"), F.col(source_col).alias("_m_source"), F.xxhash64(text_col).alias("_m_hash"), n_words(F.col(text_col)).alias("_m_size"))
+    narrow = docs.select(F.col(id_col).cast("string").alias("_m_id"), F.col(source_col).alias("_m_source"), F.xxhash64(text_col).alias("_m_hash"), n_words(F.col(text_col)).alias("_m_size"))
     units = cut(narrow.groupBy("_m_id", "_m_source", "_m_hash", "_m_size").agg(F.count(F.lit(1)).alias("_m_rows")))
     sizes = units.groupBy(F.col("_m_source").alias("source")).agg(F.sum("_m_rows").alias("n"), F.sum(F.col("_m_size") * F.col("_m_rows")).alias("source_size"))
     plan = cut(targets(sizes, weights, share, most))
@@ -117,7 +131,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     for d in done[1:]:
         rounded = rounded.unionByName(d)
     copies = F.col("_m_whole") + F.when((F.col("_m_mass") >= F.col("_m_room")) & (F.col("_m_room") > 0), 1).otherwise(0)
-    return rounded.select("_m_id", "_m_source", "_m_hash", "_m_rows", F.col("_m_size").alias("size"), "source_size", "target", copies.cast("long").alias("copies"))
+    return rounded.select(F.col("_m_id").cast(docs.schema[id_col].dataType).alias("_m_id"), "_m_source", "_m_hash", "_m_rows", F.col("_m_size").alias("size"), "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
