@@ -115,19 +115,19 @@ def judged(cands: DataFrame, owner_col: str, repo_col: str, example_owners: int
     return spans.join(freq, "hash").groupBy("_s_id").agg(F.array_sort(F.collect_list(one)).alias("_s_judged"))
 
 
-def scan(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """docs with `secrets`: array of (start, end, kind, value, n_owners, n_repos, live), sorted by start, then kind."""
+def scan(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", example_owners: int = EXAMPLE_OWNERS, out_col: str = "secrets") -> DataFrame:
+    """docs with out_col: array of (start, end, kind, value, n_owners, n_repos, live), sorted by start, then kind."""
     cands = candidates(docs, text_col)
-    kind = f"array<struct<start:int,end:int,kind:int,value:string,n_owners:bigint,n_repos:bigint,live:boolean>>"
+    kind = "array<struct<start:int,end:int,kind:int,value:string,n_owners:bigint,n_repos:bigint,live:boolean>>"
     none = F.array().cast(kind)
-    held = cands.join(judged(cands, owner_col, repo_col, example_owners), "_s_id", "left").withColumn("secrets", F.coalesce(F.col("_s_judged").cast(kind), none)).drop("_s_id", "_s_spans", "_s_judged")
-    return held.unionByName(docs.filter(~may_hold(F.col(text_col))).withColumn("secrets", none))
+    held = cands.join(judged(cands, owner_col, repo_col, example_owners), "_s_id", "left").withColumn(out_col, F.coalesce(F.col("_s_judged").cast(kind), none)).drop("_s_id", "_s_spans", "_s_judged")
+    return held.unionByName(docs.filter(~may_hold(F.col(text_col))).withColumn(out_col, none))
 
 
 def redact(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", mark: str = "[SECRET]", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """docs with the value of every owner-specific secret replaced by mark; copied examples and all other text stay."""
     text = F.col(text_col)
-    live = F.transform(F.filter("secrets", lambda s: s["live"]), lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end")))
+    live = F.transform(F.filter("_s_found", lambda s: s["live"]), lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end")))
     folded = F.aggregate(
         F.array_sort(live),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
@@ -137,8 +137,8 @@ def redact(docs: DataFrame, text_col: str = "text", owner_col: str = "source", r
         ),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    found = scan(docs, text_col, owner_col, repo_col, example_owners)
-    return found.withColumn(text_col, F.when(F.exists("secrets", lambda s: s["live"]), folded).otherwise(text)).drop("secrets")
+    found = scan(docs, text_col, owner_col, repo_col, example_owners, "_s_found")
+    return found.withColumn(text_col, F.when(F.exists("_s_found", lambda s: s["live"]), folded).otherwise(text)).drop("_s_found")
 
 
 def _digest(spans: Column) -> Column:
