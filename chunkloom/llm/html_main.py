@@ -113,9 +113,8 @@ class Page:
                 continue
             if tag in _RAW:
                 lowered = lowered or html.lower()
-                end = lowered.find(f"</{tag}", at)
-                if end < 0 or len(lowered) != len(html):  # characters whose lower case is longer
-                    end = (x.start() if (x := re.compile(f"</{tag}", re.I).search(html, at)) else len(html))
+                end = lowered.find(f"</{tag}", at) if len(lowered) == len(html) else (x.start() if (x := re.compile(f"</{tag}", re.I).search(html, at)) else -1)  # some lower cases are longer
+                end = end if end >= 0 else len(html)
                 at = len(html) if (close_at := html.find(">", end)) < 0 else close_at + 1
                 continue
             self._open(tag, m[3], stack[-1])
