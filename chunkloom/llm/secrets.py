@@ -154,7 +154,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = F.filter("secrets", lambda s: (s["kind"] < len(BASE)) | s["live"])
     return found.select(
         "doc_id",
-        *(F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k][0]}") for k in range(len(BASE))),
+        *(F.size(F.expr(f"filter(secrets, s -> s.kind = {k})")).cast("long").alias(f"n_{KINDS[k][0]}") for k in range(len(BASE))),
         F.sha2(_digest(base), 256).alias("base_sha256"),
         _digest(kept).alias("spans"),
         F.size(F.filter("secrets", lambda s: s["live"])).cast("long").alias("n_live"),
