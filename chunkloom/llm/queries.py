@@ -14,6 +14,7 @@ from chunkloom.llm.langid import op1_language
 from chunkloom.llm.licenses import op7_licenses
 from chunkloom.llm.mixing import op4_mixing
 from chunkloom.llm.ngram_join import op9_ngram_join
+from chunkloom.llm.oracles import ORACLES
 from chunkloom.llm.quality import op8_quality
 from chunkloom.llm.secrets import op10_secrets
 
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
