@@ -5,7 +5,7 @@ The automaton reads tokens; its state is the token read last. It starts as the u
 
   1. copies the state of b as the state of ab (what may follow ab is what may follow b),
   2. takes the arc b away from the state of a (a then b is always written ab from here on),
-  3. gives every state that has an arc a an arc ab (ab may stand wherever a may).
+  3. gives every state that has an arc a an arc ab (ab may stand wherever a may), if a had an arc b to take.
 
 After the last merge a text has exactly one path, which is its BPE encoding. The arcs are a bit table, one bit row of
 states per token, so step 3 copies one row and step 1 one bit column.
@@ -101,6 +101,8 @@ class Automaton:
         self.special = special
         self.labels = {i: t for t, i in (*vocab.items(), *special.items())}
         made = dict.fromkeys(a + b for a, b in merges)
+        if len(made) < len(merges):
+            raise ValueError("two merges give one token: the automaton has a gadget for each token")
         base = [t for t in vocab if t not in made]
         tokens = [*base, *made]
         number = {t: k for k, t in enumerate(tokens)}
@@ -110,10 +112,11 @@ class Automaton:
         self.state = np.full(len(tokens), -1, np.int32)
         goes_on = [k for k, t in enumerate(tokens) if not t.endswith(END)]
         self.state[goes_on] = np.arange(len(goes_on))
-        width = (len(goes_on) + 7) // 8
+        self.start = len(goes_on)  # the state before the first token, which no arc leads to
+        width = len(goes_on) // 8 + 1
         arcs = np.zeros((len(tokens), width), np.uint8)
-        states = self.state[: len(base)]
-        np.bitwise_or.at(everywhere := np.zeros(width, np.uint8), states[states >= 0] >> 3, (1 << (states[states >= 0] & 7)).astype(np.uint8))
+        states = np.append(self.state[: len(base)][self.state[: len(base)] >= 0], self.start)
+        np.bitwise_or.at(everywhere := np.zeros(width, np.uint8), states >> 3, (1 << (states & 7)).astype(np.uint8))
         arcs[: len(base)] = everywhere
         n = len(base)
         for a, b in merges:
@@ -122,8 +125,9 @@ class Automaton:
                 sb = int(self.state[kb])
                 arcs[:n, s >> 3] |= ((arcs[:n, sb >> 3] >> (sb & 7)) & 1) << (s & 7)
             sa = int(self.state[ka])
-            arcs[kb, sa >> 3] &= ~(1 << (sa & 7)) & 0xFF
-            arcs[n] = arcs[ka]
+            if arcs[kb, sa >> 3] >> (sa & 7) & 1:  # else a is never followed by b, and ab is never made
+                arcs[kb, sa >> 3] &= ~(1 << (sa & 7)) & 0xFF
+                arcs[n] = arcs[ka]
             n += 1
         self.arcs = arcs
         self.symbols = byte_symbols()
@@ -149,7 +153,7 @@ class Automaton:
             tail = END if end == n else ""
             for start in range(max(0, end - self.longest), end):
                 k = number.get(text[start:end] + tail)
-                if k is not None and (start == 0 or arcs[k, (s := self.state[token[start]]) >> 3] >> (s & 7) & 1):
+                if k is not None and arcs[k, (s := int(self.state[token[start]]) if start else self.start) >> 3] >> (s & 7) & 1:
                     token[end], came[end] = k, start
                     break
         out, at = [], n
@@ -190,9 +194,8 @@ class Automaton:
                     for start in range(max(0, end - self.longest), end):
                         k = pieces[start, end]
                         at = np.flatnonzero(open_ & (k >= 0))
-                        if start and len(at):
-                            s = self.state[token[start, at]]
-                            at = at[(self.arcs[k[at], s >> 3] >> (s & 7).astype(np.uint8)) & 1 > 0]
+                        s = self.state[token[start, at]] if start else np.full(len(at), self.start)
+                        at = at[(self.arcs[k[at], s >> 3] >> (s & 7).astype(np.uint8)) & 1 > 0]
                         token[end, at], came[end, at] = k[at], start
                         open_[at] = False
                 last = np.where(token >= 0, self.ids[token], -1)
