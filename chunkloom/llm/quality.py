@@ -58,6 +58,7 @@ class Network:
         for w in range(1, WIDTH):
             z += np.take(self.p["filters"][w], data[w : w + places * STRIDE : STRIDE], axis=0)
         z = z.reshape(-1, BLOCK // STRIDE, FILTERS)
+        z[np.cumsum(n) - 1, -1] = -np.inf  # would reach into the next text; the place before covers these bytes too
         top = z.max(axis=1)
         at = z.argmax(axis=1) if where else None
         last = np.zeros(len(top), bool)
