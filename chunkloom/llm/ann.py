@@ -126,7 +126,7 @@ class Router:
 
 
 def train(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, parts: int = PARTS, target: float = TARGET) -> Router | None:
-    good = vectors.select(F.col(id_col).alias("v"), F.col(vector_col).cast("array<double>").alias("x")).filter(clean(F.col("x")))
+    good = vectors.select(F.col(id_col).alias("v"), F.col(vector_col).cast("array<double>").alias("x")).filter(F.col("v").isNotNull() & clean(F.col("x")))
     n = good.count()
     drawn = good.filter(F.pmod(F.xxhash64(F.lit(41), "v"), F.lit(1 << 30)) < min(1.0, sample / max(1, n)) * (1 << 30)).collect()
     if not drawn:
