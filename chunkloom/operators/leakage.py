@@ -51,7 +51,7 @@ def blowup_threshold(freqs: DataFrame, blowup: float = 1.15) -> DataFrame:
     return best.select(F.when(F.col("flat"), 1).otherwise(F.coalesce("answer", F.lit(1))).cast("long").alias("t"))
 
 
-def spread_states(chunks: DataFrame, t: int | Column, width: int = SKETCH_WIDTH, seed: str = "ted") -> DataFrame:
+def spread_states(chunks: DataFrame, t: int | Column, width: int = SKETCH_WIDTH, seed: str = "tunable") -> DataFrame:
     """seq, fp, est, state: each chunk draws one of est / t + 1 states, so that frequent contents get several ciphertexts.
     The draw is a hash of seed, seq and fp, and so the same in every run."""
     n_states = F.floor(F.col("est") / (F.lit(t) if isinstance(t, int) else t)) + 1

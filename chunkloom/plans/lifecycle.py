@@ -50,10 +50,10 @@ def analyse(chunks: DataFrame, k: int, batch: int = 128, width: int = 262_144, g
     return plain.crossJoin(leakage.divergence(seen).select(F.col("logical").alias("observed"), F.col("kld").alias("cipher_kld")))
 
 
-def compare_schemes(chunks: DataFrame, t: int = 5) -> DataFrame:
+def compare_schemes(chunks: DataFrame, t: int = 5, width: int = 262_144) -> DataFrame:
     """scheme, unique_chunks, key_bytes: stored copies and key metadata under each scheme."""
     plain = statistics.totals(chunks.withColumn("size", F.lit(1))).select("logical_chunks", "unique_chunks")
-    states = leakage.spread_states(chunks, t).select("fp", "state").distinct().agg(F.count(F.lit(1)).alias("tunable"))
+    states = leakage.spread_states(chunks, t, width).select("fp", "state").distinct().agg(F.count(F.lit(1)).alias("tunable"))
     both = plain.crossJoin(states)
     rows = F.explode(F.array(*(F.struct(F.lit(s).alias("scheme"), F.col("tunable" if s == "tunable" else "unique_chunks").alias("unique_chunks"), (F.lit(0) if s == "plain" else F.col("logical_chunks") * 32).alias("key_bytes")) for s in ("plain", "convergent", "server_aided", "tunable"))))
     return both.select(rows.alias("r")).select("r.*")

@@ -60,10 +60,11 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY min_fp ORDER BY file_id, se
 kept AS (SELECT s.min_fp, g.fp, arg_min(g.size, {{'f': g.file_id, 's': g.seq}}) AS size FROM seg g JOIN summ s USING (file_id, segment) GROUP BY s.min_fp, g.fp)
 """
 HOOKS = f"(SELECT DISTINCT (seq - 1) // 64 AS segment, fp AS hook FROM {EVENTS} WHERE ('0x' || substr(fp, 1, 2))::INT < 16)"
-HOOK_INDEX = f"(SELECT hook, segment AS manifest FROM (SELECT *, row_number() OVER (PARTITION BY hook ORDER BY segment DESC) AS r FROM {HOOKS} WHERE segment % 2 = 0) WHERE r <= 5)"
-CANDIDATES = f"(SELECT h.segment, i.manifest, count(*) AS hits FROM {HOOKS} h JOIN {HOOK_INDEX} i USING (hook) WHERE h.segment % 2 = 1 GROUP BY ALL)"
-FIRST_HALF = f"(SELECT DISTINCT fp FROM {EVENTS} WHERE seq % 5 = 0)"
-STATES = f"(SELECT seq, fp, est, least(floor({unit(chr(39) + 'ted|' + chr(39) + ' || seq::VARCHAR || ' + chr(39) + '|' + chr(39) + ' || fp')} * (est // 5 + 1)), est // 5)::BIGINT AS state FROM {running(512)})"
+HOOK_INDEX = f"(SELECT hook, segment AS manifest FROM (SELECT *, row_number() OVER (PARTITION BY hook ORDER BY segment DESC) AS r FROM {HOOKS}) WHERE r <= 5)"
+CANDIDATES = f"(SELECT h.segment, i.manifest, count(*) AS hits FROM {HOOKS} h JOIN {HOOK_INDEX} i USING (hook) GROUP BY ALL)"
+DOC_TRACE = f"(SELECT doc_id AS seq, fp, size FROM {CHUNKS})"
+LABELLED = f"(SELECT * FROM {DOC_TRACE} WHERE seq IN (SELECT doc_id FROM labels))"
+STATES = f"(SELECT seq, fp, est, least(floor({unit(chr(39) + 'tunable|' + chr(39) + ' || seq::VARCHAR || ' + chr(39) + '|' + chr(39) + ' || fp')} * (est // 5 + 1)), est // 5)::BIGINT AS state FROM {running(512)})"
 RUN = f"(SELECT (seq - 1) // 128 AS batch, fp, seq, est FROM {running(512)})"
 FIRSTS = f"(SELECT fp, min(seq) AS seq, arg_min(size, seq) AS size FROM {EVENTS} GROUP BY fp)"
 PACKED = """WITH RECURSIVE o AS MATERIALIZED (SELECT source AS writer, doc_id AS seq, strlen(text) AS length, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents WHERE text IS NOT NULL),
@@ -86,13 +87,13 @@ ORACLES: dict[str, str] = {
     "file_scan": "SELECT 1::BIGINT AS n_files, true AS whole",
     "trace_parse": f"SELECT seq, substr(fp, 1, 12) AS fp, least(size * 3, 16384)::INT AS size FROM {EVENTS}",
     "trace_parse_short": f"SELECT seq, substr(fp, 1, 10) AS fp, least(size, 16384)::INT AS size FROM {EVENTS}",
-    "trace_concat": f"SELECT row_number() OVER (ORDER BY seq % 2, seq) AS seq, fp, size FROM {EVENTS}",
+    "trace_concat": f"SELECT row_number() OVER (ORDER BY t, seq) AS seq, fp, size FROM (SELECT 0 AS t, * FROM {EVENTS} UNION ALL SELECT 1, seq, fp, size::INT FROM {DOC_TRACE})",
     "dense_numbers": "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS seq FROM lineitem",
     "recipe_heads": f"SELECT file_id, sum(size)::BIGINT AS file_size, count(*) AS chunk_num FROM {FILES} GROUP BY file_id",
-    "store_round_trip": f"SELECT file_id, sha256(data) AS digest, strlen(data) AS size FROM {DOCS} WHERE data <> ''",
-    "statistics_carry_over": f"WITH t AS ({totals('(SELECT *, doc_id % 2 AS half FROM ' + CHUNKS + ')', 'half')}) SELECT sum(logical_chunks)::BIGINT AS logical_chunks, sum(logical_size)::BIGINT AS logical_size, sum(unique_chunks)::BIGINT AS unique_chunks, sum(unique_size)::BIGINT AS unique_size FROM t",
-    "kv_latest": "SELECT user_id, arg_max(event_type, event_id) AS value FROM events GROUP BY user_id",
-    "kv_lookup": "SELECT user_id, value FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN (SELECT user_id, arg_max(event_type, event_id) AS value FROM events WHERE event_id % 2 = 0 GROUP BY user_id) USING (user_id)",
+    "store_round_trip": f"SELECT 'd' || file_id AS file_id, sha256(data) AS digest, strlen(data) AS size FROM {DOCS} WHERE data <> '' UNION ALL SELECT 'b' || item_id, sha256(text), strlen(text) FROM benchmark WHERE text <> ''",
+    "statistics_carry_over": f"WITH t AS ({totals(CHUNKS)} UNION ALL {totals('(SELECT sha256(html) AS fp, strlen(html) AS size FROM pages WHERE html IS NOT NULL)')}) SELECT sum(logical_chunks)::BIGINT AS logical_chunks, sum(logical_size)::BIGINT AS logical_size, sum(unique_chunks)::BIGINT AS unique_chunks, sum(unique_size)::BIGINT AS unique_size FROM t",
+    "kv_latest": "SELECT key, arg_max(value, since) AS value FROM (SELECT c_custkey AS key, c_mktsegment AS value, -1 AS since FROM customer UNION ALL SELECT user_id, event_type, event_id FROM events) GROUP BY key",
+    "kv_lookup": "SELECT c_custkey AS key, value FROM customer LEFT JOIN (SELECT user_id, arg_max(event_type, event_id) AS value FROM events GROUP BY user_id) ON user_id = c_custkey",
     "fixed_size_chunks": fixed(512, "sha256"),
     "fixed_size_chunks_blocks": f"""SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY o) - 1 AS seq, o AS "offset", length(piece)::INT AS size, md5(piece) AS fp FROM (
         SELECT file_id, b * 1000 + i * 300 AS o, substr(data, (b * 1000 + i * 300 + 1)::INT, least(300, 1000 - i * 300)::INT) AS piece FROM (SELECT file_id, data, b, unnest(range(4)) AS i FROM (SELECT file_id, data, unnest(range((length(data) + 999) // 1000)) AS b FROM {DOCS})) WHERE b * 1000 + i * 300 < length(data))""",
@@ -107,10 +108,10 @@ ORACLES: dict[str, str] = {
     "encryption_round_trip": f"SELECT file_id, strlen(data) + 28 AS size, sha256(data) AS a, sha256(data) AS b FROM {DOCS}",
     "first_seen_chunks": f"SELECT fp, seq, size FROM {FIRSTS}",
     "first_flags": f"SELECT seq, row_number() OVER (PARTITION BY fp ORDER BY seq) = 1 AS is_first FROM {EVENTS}",
-    "anti_join_new_chunks": f"SELECT fp, min(seq) AS seq, arg_min(size, seq) AS size FROM {EVENTS} WHERE seq % 5 <> 0 AND fp NOT IN (SELECT fp FROM {FIRST_HALF}) GROUP BY fp",
-    "semi_join_known_chunks": f"SELECT seq, fp FROM {EVENTS} WHERE seq % 5 <> 0 AND fp IN (SELECT fp FROM {FIRST_HALF})",
-    "outer_index_probe": f"SELECT seq, sha256('s|index|' || fp) AS fp, fp IN (SELECT fp FROM {FIRST_HALF}) AS is_known FROM {EVENTS} WHERE seq % 5 <> 0",
-    "index_union": f"SELECT fp, min(seq) AS seq, arg_min(size, seq) AS size FROM {EVENTS} WHERE seq % 5 = 0 GROUP BY fp UNION ALL SELECT fp, min(seq), arg_min(size, seq) FROM {EVENTS} WHERE seq % 5 <> 0 AND fp NOT IN (SELECT fp FROM {FIRST_HALF}) GROUP BY fp",
+    "anti_join_new_chunks": f"SELECT fp, min(seq) AS seq, arg_min(size, seq)::INT AS size FROM {DOC_TRACE} WHERE fp NOT IN (SELECT fp FROM {LABELLED}) GROUP BY fp",
+    "semi_join_known_chunks": f"SELECT seq, fp FROM {DOC_TRACE} WHERE fp IN (SELECT fp FROM {LABELLED})",
+    "outer_index_probe": f"SELECT seq, sha256('s|index|' || fp) AS fp, fp IN (SELECT fp FROM {LABELLED}) AS is_known FROM {DOC_TRACE}",
+    "index_union": f"SELECT fp, min(seq) AS seq, arg_min(size, seq)::INT AS size FROM {LABELLED} GROUP BY fp UNION ALL SELECT fp, min(seq), arg_min(size, seq)::INT FROM {DOC_TRACE} WHERE fp NOT IN (SELECT fp FROM {LABELLED}) GROUP BY fp",
     "batch_dup_flags": f"SELECT seq, batch, CASE WHEN r = 1 THEN '' ELSE 'TMP_' END || CASE WHEN since < batch THEN 'DUPLICATE' ELSE 'UNIQUE' END AS flag FROM (SELECT seq, (seq - 1) // 128 AS batch, row_number() OVER (PARTITION BY fp, (seq - 1) // 128 ORDER BY seq) AS r, min((seq - 1) // 128) OVER (PARTITION BY fp) AS since FROM {EVENTS})",
     "batch_key_sets": f"SELECT DISTINCT (seq - 1) // 128 AS batch, fp FROM {EVENTS}",
     "streaming_exact_dedup": f"SELECT DISTINCT fp, size FROM {EVENTS}",
@@ -121,7 +122,7 @@ ORACLES: dict[str, str] = {
     "kld_by_source": divergence(f"(SELECT source, fp, count(*) AS freq FROM {CHUNKS} GROUP BY source, fp)", "source"),
     "kld_trace": divergence(f"(SELECT fp, count(*) AS freq FROM {FILES} GROUP BY fp)"),
     "cms_cells": f"SELECT row, pos, count(*) AS cnt FROM {cells(EVENTS, 4096)} GROUP BY row, pos",
-    "cms_merged": f"SELECT row, pos, count(*) AS cnt FROM {cells(EVENTS, 4096)} GROUP BY row, pos",
+    "cms_merged": f"SELECT row, pos, count(*) AS cnt FROM (SELECT row, pos FROM {cells(EVENTS, 4096)} UNION ALL SELECT row, pos FROM {cells(FILES, 4096)}) GROUP BY row, pos",
     "cms_estimate": f"WITH c AS {cells(EVENTS, 512)}, s AS (SELECT row, pos, count(*) AS cnt FROM c GROUP BY row, pos) SELECT fp, min(cnt) AS est FROM (SELECT DISTINCT fp, row, pos FROM c) JOIN s USING (row, pos) GROUP BY fp",
     "cms_first_row": f"SELECT pos, count(*) AS cnt FROM {cells(EVENTS, 4096)} WHERE row = 0 GROUP BY pos",
     "cms_total": "SELECT count(*) AS total FROM events",
@@ -131,8 +132,8 @@ ORACLES: dict[str, str] = {
     "topk_by_estimate": f"WITH c AS {cells(EVENTS, 512)}, s AS (SELECT row, pos, count(*) AS cnt FROM c GROUP BY row, pos) SELECT fp, min(cnt) AS est FROM (SELECT DISTINCT fp, row, pos FROM c) JOIN s USING (row, pos) GROUP BY fp ORDER BY est DESC, fp LIMIT 50",
     "solver_threshold": solver(f"(SELECT count(*) AS freq FROM {FILES} GROUP BY fp)", 1.15),
     "solver_threshold_sketch": solver(f"(SELECT count(*) AS freq FROM {cells(EVENTS, 512)} WHERE row = 0 GROUP BY pos)", 1.3),
-    "ted_state_counts": f"SELECT fp, state, count(*) AS freq FROM {STATES} GROUP BY fp, state",
-    "ted_kld": divergence(f"(SELECT fp, state, count(*) AS freq FROM {STATES} GROUP BY fp, state)"),
+    "tunable_state_counts": f"SELECT fp, state, count(*) AS freq FROM {STATES} GROUP BY fp, state",
+    "tunable_kld": divergence(f"(SELECT fp, state, count(*) AS freq FROM {STATES} GROUP BY fp, state)"),
     "frequency_totals": f"SELECT count(*) AS logical_chunks, count(DISTINCT fp) AS unique_chunks, (SELECT count(*) FROM (SELECT DISTINCT (seq - 1) // 128, fp FROM {EVENTS})) AS probes, count(*) - (SELECT count(*) FROM (SELECT DISTINCT (seq - 1) // 128, fp FROM {EVENTS})) AS batch_duplicates FROM {EVENTS}",
     "frequency_leakage_large_set": f"SELECT p.logical, p.distinct, p.kld AS plain_kld, p.distinct AS observed, 0.0::DOUBLE AS cipher_kld FROM ({divergence('(SELECT fp, count(*) AS freq FROM ' + EVENTS + ' GROUP BY fp)')}) p",
     "segment_min_fp": f"SELECT (seq - 1) // 64 AS segment, count(*) AS chunk_num, sum(size)::BIGINT AS seg_size, arg_min(fp, {{'v': {byte_sum('fp')}, 's': seq}}) AS min_fp, sha256(string_agg(size::VARCHAR || ':' || fp, ',' ORDER BY seq)) AS seg_hash FROM {EVENTS} GROUP BY 1",

@@ -36,6 +36,16 @@ def doc_chunks(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", "source", "lang", F.sha2("text", 256).alias("fp"), F.octet_length("text").cast("long").alias("size"))
 
 
+def doc_trace(spark: SparkSession, d: str) -> DataFrame:
+    return doc_chunks(spark, d).select(F.col("doc_id").alias("seq"), "fp", F.col("size").cast("int").alias("size"))
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    """An index of the documents that have a label."""
+    named = traces.table(spark, d, "labels").select(F.col("doc_id").alias("seq")).distinct()
+    return dedup.first_seen(doc_trace(spark, d).join(named, "seq", "left_semi"), "fp", "seq", "size")
+
+
 # scans and sinks
 
 
@@ -62,8 +72,7 @@ def trace_parse_short(spark, d):
 
 @query
 def trace_concat(spark, d):
-    t = traces.event_trace(spark, d)
-    return traces.concatenate([t.filter("seq % 2 = 0"), t.filter("seq % 2 = 1")]).select("seq", "fp", "size")
+    return traces.concatenate([traces.event_trace(spark, d), doc_trace(spark, d)]).select("seq", "fp", "size")
 
 
 @query
@@ -79,7 +88,7 @@ def recipe_heads(spark, d):
 
 @query
 def store_round_trip(spark, d):
-    """Ingest of all documents in two runs, and the restored files' digests."""
+    """Ingest of all documents, then of all benchmark texts, and the restored files' digests."""
     store = _filled(spark, d)
     return lifecycle.restore(store).select("file_id", F.sha2("data", 256).alias("digest"), F.length("data").cast("long").alias("size"))
 
@@ -94,30 +103,31 @@ def _filled(spark: SparkSession, d: str) -> Store:
     import uuid
 
     store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
-    files = docs(spark, d).filter("data <> ''").select("file_id", "data")
-    for part in (0, 1):
-        lifecycle.ingest(store, files.filter(F.col("file_id") % 2 == part), chunk_size=1024, capacity=1 << 16)
+    first = docs(spark, d).select(F.concat(F.lit("d"), F.col("file_id").cast("string")).alias("file_id"), "data")
+    second = traces.table(spark, d, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("file_id"), F.coalesce("text", F.lit("")).alias("data"))
+    for files in (first, second):
+        lifecycle.ingest(store, files.filter("data <> ''"), chunk_size=1024, capacity=1 << 16)
     return store
 
 
 @query
 def statistics_carry_over(spark, d):
-    t = statistics.totals(doc_chunks(spark, d).withColumn("half", F.col("doc_id") % 2), ("half",)).drop("dedup_ratio")
-    return carry_over(t.filter("half = 0").drop("half"), t.filter("half = 1").drop("half"))
+    pages = traces.table(spark, d, "pages").filter("html is not null").select(F.sha2("html", 256).alias("fp"), F.octet_length("html").cast("long").alias("size"))
+    return carry_over(statistics.totals(doc_chunks(spark, d)).drop("dedup_ratio"), statistics.totals(pages).drop("dedup_ratio"))
 
 
 @query
 def kv_latest(spark, d):
-    e = traces.table(spark, d, "events").select("user_id", F.col("event_type").alias("value"), F.col("event_id").alias("at"))
-    cut = F.col("at") % 3 == 0
-    return upsert(e.filter(~cut), e.filter(cut), "user_id", "value", "at").select("user_id", "value")
+    old = traces.table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value"), F.lit(-1).cast("long").alias("at"))
+    new = traces.table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("value"), F.col("event_id").alias("at"))
+    return upsert(old, new, "key", "value", "at").select("key", "value")
 
 
 @query
 def kv_lookup(spark, d):
-    e = traces.table(spark, d, "events").select("user_id", F.col("event_type").alias("value"), F.col("event_id").alias("at"))
-    index = upsert(None, e.filter("event_id % 2 = 0"), "user_id", "value", "at")
-    return lookup(index.select("user_id", "value"), e.select("user_id").distinct(), "user_id")
+    e = traces.table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("value"), F.col("event_id").alias("at"))
+    index = upsert(None, e, "key", "value", "at")
+    return lookup(index.select("key", "value"), traces.table(spark, d, "customer").select(F.col("c_custkey").alias("key")), "key")
 
 
 # chunking and fingerprints
@@ -215,29 +225,25 @@ def first_flags(spark, d):
 
 @query
 def anti_join_new_chunks(spark, d):
-    t = traces.event_trace(spark, d)
-    half = F.col("seq") % 5 == 0
-    return dedup.new_chunks(t.filter(~half), dedup.first_seen(t.filter(half)), "fp", "seq", "size")
+    return dedup.new_chunks(doc_trace(spark, d), _labelled(spark, d), "fp", "seq", "size")
 
 
 @query
 def semi_join_known_chunks(spark, d):
-    t = traces.event_trace(spark, d)
-    half = F.col("seq") % 5 == 0
-    return dedup.known_chunks(t.filter(~half), dedup.first_seen(t.filter(half))).select("seq", "fp")
+    return dedup.known_chunks(doc_trace(spark, d), _labelled(spark, d)).select("seq", "fp")
 
 
 @query
 def outer_index_probe(spark, d):
-    t = traces.event_trace(spark, d).withColumn("fp", ciphers.index_key(F.col("fp"), "s"))
-    return dedup.probe(t.filter("seq % 5 <> 0"), dedup.first_seen(t.filter("seq % 5 = 0"))).select("seq", "fp", "is_known")
+    """The index is outside the trusted side, and sees keyed images of fingerprints only."""
+    hidden = lambda df: df.withColumn("fp", ciphers.index_key(F.col("fp"), "s"))
+    return dedup.probe(hidden(doc_trace(spark, d)), hidden(_labelled(spark, d))).select("seq", "fp", "is_known")
 
 
 @query
 def index_union(spark, d):
-    t = traces.event_trace(spark, d)
-    index = dedup.first_seen(t.filter("seq % 5 = 0"), "fp", "seq", "size")
-    return dedup.grow_index(index, dedup.new_chunks(t.filter("seq % 5 <> 0"), index, "fp", "seq", "size"))
+    index = _labelled(spark, d)
+    return dedup.grow_index(index, dedup.new_chunks(doc_trace(spark, d), index, "fp", "seq", "size"))
 
 
 @query
@@ -303,8 +309,7 @@ def cms_cells(spark, d):
 
 @query
 def cms_merged(spark, d):
-    t = traces.event_trace(spark, d)
-    return sketches.merge(sketches.cells(t.filter("seq % 2 = 0"), WIDTH), sketches.cells(t.filter("seq % 2 = 1"), WIDTH))
+    return sketches.merge(sketches.cells(traces.event_trace(spark, d), WIDTH), sketches.cells(traces.file_trace(spark, d), WIDTH))
 
 
 @query
@@ -361,17 +366,17 @@ def solver_threshold_sketch(spark, d):
 
 
 @query
-def ted_state_counts(spark, d):
+def tunable_state_counts(spark, d):
     return leakage.frequencies(leakage.spread_states(traces.event_trace(spark, d), 5, 512), "fp", "state")
 
 
 @query
-def ted_kld(spark, d):
+def tunable_kld(spark, d):
     return leakage.divergence(leakage.frequencies(leakage.spread_states(traces.event_trace(spark, d), 5, 512), "fp", "state"))
 
 
 @query
-def ted_leakage(spark, d):
+def tunable_leakage(spark, d):
     return leakage.tunable_leakage(traces.event_trace(spark, d), 1.15, 512)
 
 
@@ -433,8 +438,7 @@ def similarity_dedup_stats(spark, d):
 def _hooks(spark, d):
     t = traces.event_trace(spark, d).withColumn("file_id", F.lit(0))
     h = segments.hooks(segments.fixed_segments(t, 64), 4)
-    index = segments.hook_index(h.filter("segment % 2 = 0").select("hook", F.col("segment").alias("manifest")), 5)
-    return h.filter("segment % 2 = 1"), index
+    return h, segments.hook_index(h.select("hook", F.col("segment").alias("manifest")), 5)
 
 
 @query
@@ -537,7 +541,7 @@ def content_keys(spark, d):
 
 @query
 def scheme_comparison(spark, d):
-    return lifecycle.compare_schemes(traces.event_trace(spark, d))
+    return lifecycle.compare_schemes(traces.event_trace(spark, d), 5, 512)
 
 
 @query
