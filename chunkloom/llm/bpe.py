@@ -35,9 +35,9 @@ END = "</w>"
 #: The characters that the library's patterns take as white space.
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words kept with their encodings, in each Python worker.
-CACHE = 400_000
+CACHE = 250_000
 #: Characters of text that are split at a time.
-SLICE = 4_000_000
+SLICE = 2_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -248,34 +248,42 @@ class Encoder:
         for w, ids in zip(new, self.automaton.encode_words([w.encode("utf-8", "surrogatepass") for w in new]), strict=True):
             self.cache[w] = (" ".join(map(str, ids)), " ".join([labels[i] for i in ids]))
 
-    def encode_batch(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
-        """(number of tokens, ids joined by spaces, decoded text) of each, a few million characters at a time."""
+    def encode_slices(self, texts: list[str]) -> Iterator[Iterator[tuple[int, str, str]]]:
+        """(number of tokens, ids joined by spaces, decoded text) of each text, in slices of a few million characters. Each
+        slice is to be read before the next."""
         at = 0
         while at < len(texts):
             size, to = 0, at
             while to < len(texts) and (to == at or size + len(texts[to]) <= SLICE):
                 size += len(texts[to])
                 to += 1
-            split = [[p if p in self.special else self.words(p) for p in self.cut.split(t)] if self.cut and "<|" in t else [self.words(t)] for t in texts[at:to]]
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            known, new = self.cache, {}
-            for parts in split:
-                for p in parts:
-                    if not isinstance(p, str):
-                        for w in p:
-                            if w not in known:
-                                new[w] = None
-            self.learn(list(new))
-            get = known.__getitem__
-            for parts in split:
-                found = []
-                for p in parts:
-                    found.extend([self.special[p]] if isinstance(p, str) else map(get, p))
-                ids = " ".join([f[0] for f in found])
-                yield (ids.count(" ") + 1 if ids else 0), ids, " ".join([f[1] for f in found])
+            yield self._encoded(texts[at:to])
             at = to
 
+    def _encoded(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        split = [[p if p in self.special else self.words(p) for p in self.cut.split(t)] if self.cut and "<|" in t else [self.words(t)] for t in texts]
+        if len(self.cache) >= CACHE:
+            self.cache.clear()
+        known, new = self.cache, {}
+        for parts in split:
+            for p in parts:
+                if not isinstance(p, str):
+                    for w in p:
+                        if w not in known:
+                            new[w] = None
+        self.learn(list(new))
+        get = known.__getitem__
+        for parts in split:
+            found = []
+            for p in parts:
+                found.extend([self.special[p]] if isinstance(p, str) else map(get, p))
+            ids = " ".join([f[0] for f in found])
+            yield (ids.count(" ") + 1 if ids else 0), ids, " ".join([f[1] for f in found])
+
+    def encode_batch(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        for part in self.encode_slices(texts):
+            yield from part
+
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.automaton.labels[i] for i in ids])
 
@@ -283,12 +291,13 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded where keep_ids). The merges are broadcast (1.7 MB) and each
-    Python worker compiles its automaton once, for as long as it lives: its arcs (92 MB) are not worth sending."""
+def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, n_tokens, ids_sha256, decoded_sha256, and of `ids` and `decoded` (strings) those in keep. The merges are broadcast
+    (1.7 MB) and each Python worker compiles its automaton once, for as long as it lives: its arcs (92 MB) are not worth
+    sending. Rows leave a worker a slice at a time, so its memory doesn't follow the size of Arrow's batches."""
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    kind = dict(docs.dtypes)[id_col]
+    columns = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *keep]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name = hashlib.sha256(shared.value.encode()).hexdigest()
@@ -296,15 +305,19 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         if encoder is None:
             encoder = _ENCODERS[name] = Encoder(Automaton.parse(shared.value))
         for pdf in batches:
-            rows = []
-            for n, ids, decoded in encoder.encode_batch([t if isinstance(t, str) else "" for t in pdf[text_col].tolist()]):
-                row = (n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
-                rows.append((*row, ids, decoded) if keep_ids else row)
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_ids else [])])
-            out.insert(0, id_col, pdf[id_col].array)
-            yield out
-
-    return docs.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids string, decoded string" if keep_ids else ""))
+            ids_of_rows, at = pdf[id_col].array, 0
+            for part in encoder.encode_slices([t if isinstance(t, str) else "" for t in pdf[text_col].tolist()]):
+                out = []
+                for n, ids, decoded in part:
+                    row = (n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
+                    out.append((*row, *({"ids": ids, "decoded": decoded}[k] for k in keep)))
+                frame = pd.DataFrame(out, columns=columns[1:])
+                frame.insert(0, id_col, ids_of_rows[at : at + len(out)])
+                at += len(out)
+                yield frame
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {k} string" for k in keep))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

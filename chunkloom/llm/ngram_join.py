@@ -35,7 +35,7 @@ WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 192
 SMALL, BLOCK, PACK = 32, 256, 2000
 #: Up to this many candidate classes (16 MB of ids), they are broadcast to the scan that fetches their texts; beyond, they are shuffled.
 BROADCAST_ROWS = 500_000
-SLICE = 2_000_000
+SLICE = 1_000_000
 _P, _Q = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _MASK = 0xFFFFFFFFFFFFFFFF
 

@@ -69,7 +69,7 @@ def test_bpe_small_automaton_is_merging_by_rank():
 
 
 def test_bpe_odd_rows(odd, empty):
-    rows = bpe.encode_texts(odd, TOKENIZER, keep_ids=True).collect()
+    rows = bpe.encode_texts(odd, TOKENIZER, keep=("ids", "decoded")).collect()
     nothing = hashlib.sha256(b"").hexdigest()
     assert len(rows) == odd.count()
     assert all((r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (0, nothing, nothing) for r in rows if r["doc_id"] in (1, 2, 3))
