@@ -11,18 +11,23 @@ from chunkloom.llm._common import cut
 def connected_components(edges: DataFrame) -> DataFrame:
     """(v, component) for every end of edges (a, b); component is the smallest vertex reachable.
 
-    Each round takes the smallest label among a vertex and its neighbours and then follows labels once (pointer jumping);
-    rounds go on until none changes. Labels and edges are tables in the shared folder, so a lost executor costs a read.
-    Null ends are ignored; an empty edge table gives an empty result.
+    In each round every vertex takes the smallest of itself and its neighbours as its name, and the edges are renamed:
+    those between equal names go, equal ones become one, and an edge joins each name with that name's own new name. So a
+    round works on the few edges that the last one left, until none is left. Names and edges are tables in the shared
+    folder; a lost executor costs a read. Null ends are ignored; an empty edge table gives an empty result.
     """
-    e = edges.filter("a is not null and b is not null and a <> b").select("a", "b")
-    both = cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("component")))
-    while True:
-        near = both.join(labels.select(F.col("v").alias("b"), "component"), "b").groupBy(F.col("a").alias("v")).agg(F.min("component").alias("m"))
-        hooked = labels.join(near, "v").select("v", F.col("component").alias("old"), F.least("component", "m").alias("component"))
-        up = hooked.select(F.col("v").alias("component"), F.col("component").alias("higher"))
-        jumped = cut(hooked.join(up, "component").select("v", F.col("higher").alias("component"), (F.col("higher") < F.col("old")).alias("moved")))
-        labels = jumped.select("v", "component")
-        if jumped.filter("moved").isEmpty():
-            return labels
+    left = cut(edges.filter("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = None
+    while labels is None or not left.isEmpty():
+        ends = left.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(left.select(F.col("b").alias("v"), F.col("a").alias("w")))
+        names = cut(ends.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("name")))
+        if labels is None:
+            labels = names.select("v", F.col("name").alias("component"))
+        else:
+            new = names.select(F.col("v").alias("component"), "name")
+            labels = cut(labels.join(new, "component", "left").select("v", F.coalesce("name", "component").alias("component")))
+        of_a, of_b = names.toDF("a", "x"), names.toDF("b", "y")
+        renamed = left.join(of_a, "a").join(of_b, "b").select("x", "y")
+        up = names.filter("v <> name").select(F.col("name").alias("v")).distinct().join(names, "v").select(F.col("v").alias("x"), F.col("name").alias("y"))
+        left = cut(renamed.unionByName(up).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    return labels
