@@ -95,7 +95,7 @@ class TokenTable:
 
 class Automaton:
     """Compiled merges. Tokens are numbered in the order in which they got their arcs (base symbols, then merges);
-    `arcs` has a bit for each (token, state), and tokens that end a word have no state."""
+    `arcs` has a bit for each (row, state), tokens with equal arcs share a `row`, and tokens that end a word have no state."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], special: dict[str, int]):
         self.special = special
@@ -129,7 +129,9 @@ class Automaton:
                 arcs[kb, sa >> 3] &= ~(1 << (sa & 7)) & 0xFF
                 arcs[n] = arcs[ka]
             n += 1
-        self.arcs = arcs
+        kinds: dict[bytes, int] = {}  # three in four tokens have the arcs of another
+        self.row = np.array([kinds.setdefault(row.tobytes(), len(kinds)) for row in arcs], np.int32)
+        self.arcs = np.frombuffer(b"".join(kinds), np.uint8).reshape(-1, width)
         self.symbols = byte_symbols()
         self.table = TokenTable(tokens, self.symbols)
         self.number = number
@@ -147,13 +149,13 @@ class Automaton:
 
     def encode_long(self, word: bytes) -> list[int]:
         """The one path over a long word, symbol by symbol."""
-        text, n, number, arcs = "".join([self.symbols[b] for b in word]), len(word), self.number, self.arcs
+        text, n, number, row, arcs = "".join([self.symbols[b] for b in word]), len(word), self.number, self.row, self.arcs
         token, came = [-1] * (n + 1), [0] * (n + 1)
         for end in range(1, n + 1):
             tail = END if end == n else ""
             for start in range(max(0, end - self.longest), end):
                 k = number.get(text[start:end] + tail)
-                if k is not None and arcs[k, (s := int(self.state[token[start]]) if start else self.start) >> 3] >> (s & 7) & 1:
+                if k is not None and arcs[row[k], (s := int(self.state[token[start]]) if start else self.start) >> 3] >> (s & 7) & 1:
                     token[end], came[end] = k, start
                     break
         out, at = [], n
@@ -195,7 +197,7 @@ class Automaton:
                         k = pieces[start, end]
                         at = np.flatnonzero(open_ & (k >= 0))
                         s = self.state[token[start, at]] if start else np.full(len(at), self.start)
-                        at = at[(self.arcs[k[at], s >> 3] >> (s & 7).astype(np.uint8)) & 1 > 0]
+                        at = at[(self.arcs[self.row[k[at]], s >> 3] >> (s & 7).astype(np.uint8)) & 1 > 0]
                         token[end, at], came[end, at] = k[at], start
                         open_[at] = False
                 last = np.where(token >= 0, self.ids[token], -1)
@@ -293,7 +295,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256, and of `ids` and `decoded` (strings) those in keep. The merges are broadcast
-    (1.7 MB) and each Python worker compiles its automaton once, for as long as it lives: its arcs (92 MB) are not worth
+    (1.7 MB) and each Python worker compiles its automaton once, for as long as it lives: its arcs (26 MB) are not worth
     sending. Rows leave a worker a slice at a time, so its memory doesn't follow the size of Arrow's batches."""
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
