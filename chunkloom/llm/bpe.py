@@ -35,9 +35,9 @@ END = "</w>"
 #: The characters that the library's patterns take as white space.
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words kept with their encodings, in each Python worker.
-CACHE = 250_000
+CACHE = 150_000
 #: Characters of text that are split at a time.
-SLICE = 2_000_000
+SLICE = 1_000_000
 
 
 def byte_symbols() -> list[str]:
