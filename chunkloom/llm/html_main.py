@@ -1,8 +1,10 @@
 """Main text of web pages by consensus host paths.
 
-Each page's containers are scored by the text of their blocks; the path of the best one (tags with their classes, digits
-made alike) is the page's vote. Votes are summed in Spark by host and path, and the winning path of a host re-extracts
-all its pages; a page that hasn't the winning path, or has little of its text there, keeps its own best container.
+Each page's containers are scored by the text of their blocks. From the best one a page climbs to the article or main
+around it, or else as high as what is added isn't mostly links, so that headline, lead and sibling sections come along; the
+path of that container (tags with their classes, digits made alike) is the page's vote. Votes are summed in Spark by host
+and path, and the winning path of a host re-extracts all its pages; a page that hasn't the winning path, or would lose text
+of its own container or gain mostly links by it, keeps its own container.
 
 Defined results: null and empty html, and pages without text, give an empty text; pages without a host (null or odd urls)
 use their own best container; markup that is never closed ends with its parent or the page; a reference that names nothing
@@ -39,15 +41,14 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]
 _OPEN_END = re.compile(r"</?[a-zA-Z][^>]*\Z")
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
-#: Least share of the page's own best score that the host's path must reach.
-FAITH = 0.5
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Page:
     """Elements in page order (parent, generalised name, whether it is outside the main text) and blocks of text."""
 
     def __init__(self, html: str):
-        self.parent, self.name, self.tag, self.out, self.good = [-1], [""], [""], [False], [False]
+        self.parent, self.name, self.tag, self.out, self.good, self.main = [-1], [""], [""], [False], [False], [False]
         self.blocks: list[tuple[int, str, int]] = []  # owner, text, characters in links
         self._read(html)
 
@@ -157,6 +158,7 @@ class Page:
         self.tag.append(tag)
         self.name.append(".".join((tag, *sorted(set(classes)))))
         self.out.append(out or self.out[parent])
+        self.main.append(tag == "main" or role == "main")
         self.good.append(tag in ("article", "main") or role == "main" or bool(words & _GOOD_WORDS))
 
     def best(self) -> tuple[int, list[float]]:
@@ -175,6 +177,44 @@ class Page:
         weighed = [s * 1.5 if g else s for s, g in zip(score, self.good, strict=True)]
         return max(range(len(weighed)), key=lambda i: (weighed[i], -i)), score
 
+    def totals(self) -> tuple[list[int], list[int]]:
+        """Characters of text, and of those the linked ones, in each element with all that it holds. A headline that links
+        to its own page counts as text."""
+        chars, linked = [0] * len(self.tag), [0] * len(self.tag)
+        for owner, text, links in self.blocks:
+            chars[owner] += len(text)
+            linked[owner] += 0 if self.tag[owner] in _HEADINGS else links
+        for n in range(len(self.tag) - 1, 0, -1):
+            chars[self.parent[n]] += chars[n]
+            linked[self.parent[n]] += linked[n]
+        return chars, linked
+
+    def climbed(self, n: int) -> int:
+        """The container around n with what belongs to it: the outermost article, then a main that holds no other article;
+        without either, the highest ancestor whose additional text isn't mostly links."""
+        chars, linked = self.totals()
+        above = [n]
+        while above[-1] > 0:
+            above.append(self.parent[above[-1]])
+        articles = [m for m in above if self.tag[m] == "article"]
+        mains = [m for m in above if self.main[m]]
+        if articles or mains:
+            top = articles[-1] if articles else mains[-1]
+            if articles and mains and mains[-1] < top and not any(self.tag[m] == "article" and chars[m] and not self._within(m, top) and self._within(m, mains[-1]) for m in range(1, len(self.tag))):
+                further = mains[-1]
+                top = further if _few_links(chars[further] - chars[top], linked[further] - linked[top]) else top
+            return top
+        top = n
+        for m in above[1:]:
+            if chars[m] > chars[top] and _few_links(chars[m] - chars[n], linked[m] - linked[n]):
+                top = m
+        return top
+
+    def _within(self, n: int, top: int) -> bool:
+        while n > top:
+            n = self.parent[n]
+        return n == top
+
     def path(self, n: int) -> str:
         names = []
         while n > 0:
@@ -197,22 +237,43 @@ class Page:
                     found.append(n)
         return found
 
-    def text(self, chosen: list[int]) -> str:
+    def inside(self, chosen: list[int]) -> list[bool]:
+        """Of each element, whether it is one of the chosen or in one."""
         inside = [False] * len(self.tag)
         for n in chosen:
             inside[n] = True
         for n in range(1, len(inside)):
             inside[n] = inside[n] or inside[self.parent[n]]
+        return inside
+
+    def text(self, chosen: list[int]) -> str:
+        inside = self.inside(chosen)
         return "\n".join([t for owner, t, _ in self.blocks if inside[owner]])
 
+    def keeps(self, chosen: list[int], own: int) -> bool:
+        """Whether the chosen elements hold all text of own, and what they add isn't mostly links."""
+        here, there = self.inside([own]), self.inside(chosen)
+        chars = linked = 0
+        for owner, text, links in self.blocks:
+            if here[owner] and not there[owner]:
+                return False
+            if there[owner] and not here[owner]:
+                chars += len(text)
+                linked += 0 if self.tag[owner] in _HEADINGS else links
+        return _few_links(chars, linked)
+
+
+def _few_links(chars: int, linked: int) -> bool:
+    return 2 * linked <= chars
+
 
 def extract(html: str | None, path: str | None) -> tuple[str, str]:
     """(main text, path used)"""
     page = Page(html if isinstance(html, str) else "")
-    own, score = page.best()
+    own = page.climbed(page.best()[0])
     if isinstance(path, str):
         chosen = page.at_path(path)
-        if chosen and sum(score[n] for n in chosen) >= FAITH * score[own]:
+        if chosen and page.keeps(chosen, own):
             return page.text(chosen), path
     return page.text([own]), page.path(own)
 
@@ -232,7 +293,7 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
                 page = Page(html if isinstance(html, str) else "")
                 n, score = page.best()
                 if score[n] > 0:
-                    rows.append((host, page.path(n), score[n]))
+                    rows.append((host, page.path(page.climbed(n)), score[n]))
             yield pd.DataFrame(rows, columns=["host", "path", "score"])
 
     ballots = pages.select(host_of(F.col(url_col)).alias("host"), html_col).filter("host is not null").mapInPandas(vote, "host string, path string, score double")

@@ -259,3 +259,29 @@ def test_pages_of_the_tables(spark, sf):
 def test_broken_markup(markup):
     text, _ = html_main.extract(markup, None)
     assert isinstance(text, str) and ("deep" in text) == ("deep" in markup)
+
+
+def page_of(inner, n=0):
+    return f"<html><body><nav><a href=x>Menu</a></nav>{inner}<footer>foot</footer></body></html>".replace("{n}", str(n))
+
+
+LONG = "A paragraph of the article that is long enough to outweigh all that stands around it. " * 8
+WHOLE_CONTAINERS = [
+    (f"<article><h1>Headline</h1><p class=lead>The lead.</p><div class=body><p>{LONG}</p></div><section><p>A sibling section.</p></section></article>", ["Headline", "The lead.", LONG.strip(), "A sibling section."]),
+    (f"<main><h1>Headline</h1><article><div class=text><p>{LONG}</p></div></article></main>", ["Headline", LONG.strip()]),
+    (f"<div class=page><div class=head><h1><a href=x>Headline</a></h1></div><div class=story><p>{LONG}</p></div></div>", ["Headline", LONG.strip()]),
+    (f"<div class=page><div class=story><p>{LONG}</p></div><div class=more><a href=x>One link</a> <a href=y>Another link</a></div></div>", [LONG.strip()]),
+]
+
+
+@pytest.mark.parametrize("inner, expected", WHOLE_CONTAINERS)
+def test_pages_keep_headline_lead_and_siblings(inner, expected):
+    assert html_main.extract(page_of(inner), None)[0].split("\n") == expected
+
+
+def test_a_hosts_path_loses_no_text_of_a_page(spark):
+    inner = f"<div class=a><article><h1>Headline</h1><div class=body><p>{LONG}</p></div></article></div>"
+    odd = f"<div class=a><article><p>Short.</p></article></div><div class=b><p>{LONG}</p></div>"
+    rows = [(n, f"http://h.example/{n}", page_of(inner)) for n in range(3)] + [(9, "http://h.example/9", page_of(odd))]
+    out = {r["page_id"]: r["text"] for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {**dict.fromkeys(range(3), f"Headline\n{LONG.strip()}"), 9: f"Short.\n{LONG.strip()}"}
