@@ -6,6 +6,10 @@ path of that container (tags with their classes, digits made alike) is the page'
 and path, and the winning path of a host re-extracts all its pages; a page that hasn't the winning path, or would lose text
 of its own container or gain mostly links by it, keeps its own container.
 
+What isn't main text is told by elements and roles, and by classes and ids whose words name page furniture. The words
+decide only when the whole page is read: an element around an article or main, or around most of the page's text, stays;
+ids of headings and paragraphs say nothing; a page that they leave empty is read without them.
+
 Defined results: null and empty html, and pages without text, give an empty text; pages without a host (null or odd urls)
 use their own best container; markup that is never closed ends with its parent or the page; a reference that names nothing
 stays as it stands; white space is Unicode's; repeated rows each get their row; an empty table gives an empty result.
@@ -34,6 +38,14 @@ _OUT = frozenset("head nav aside footer form menu script style noscript template
 _OUT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar widget widgets nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer masthead toolbar share sharing social related recommended comment comments commentlist respond disqus reply replies skip".split()
 )
+#: Words that may stand beside those in one name without changing what it names, words that make it a state of a layout,
+#: and names of the layout itself.
+_BESIDE = frozenset("area bar block blocks box button buttons card cards col column container content entries footer form global group icons inner item items left link links list main modal outer page panel posts primary right secondary section site slot social stories title top unit wrap wrapper".split())
+_STATES = frozenset("has with no without".split())
+_LAYOUT = frozenset("page site layout wrap wrapper container content main body".split())
+_COMMENTS = frozenset("comment comments commentlist respond disqus reply replies".split())
+_NO_IDS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+_WEAK, _STRONG = 1, 2
 _OUT_NAMES = frozenset(("header", "site-header", "page-header", "site_header", "page_header"))
 _GOOD_WORDS = frozenset("article content post entry main story body text prose".split())
 _WHOLE = frozenset(("html", "body", "article", "main", ""))
@@ -44,27 +56,78 @@ _WORDS = re.compile(r"[A-Za-z]+")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
+def _names_furniture(name: str, is_id: bool, inside: bool) -> int:
+    """How surely a class or id names what isn't main text: not, _WEAK (some word of it does) or _STRONG (as a whole, or
+    its last word). inside: in an article or main, where a weak name says nothing, and an id may be made of a heading."""
+    words = _WORDS.findall(name)
+    if _OUT_WORDS.isdisjoint(words) or words[0] in _STATES:
+        return 0
+    if all(w in _OUT_WORDS or w in _BESIDE for w in words) and (words[0] in _OUT_WORDS or words[-1] in _OUT_WORDS) and not (len(words) > 2 and words[0] in _LAYOUT):
+        return _STRONG
+    if inside and is_id:
+        return 0
+    if words[-1] in _OUT_WORDS or words[0] in _COMMENTS:
+        return _STRONG
+    return 0 if inside else _WEAK
+
+
 class Page:
     """Elements in page order (parent, generalised name, whether it is outside the main text) and blocks of text."""
 
     def __init__(self, html: str):
         self.parent, self.name, self.tag, self.out, self.good, self.main = [-1], [""], [""], [False], [False], [False]
+        self.named, self.inside_article = [0], [False]
         self.blocks: list[tuple[int, str, int]] = []  # owner, text, characters in links
+        self._pieces: list[tuple[int, list[tuple[int, str, bool]]]] = []  # owner, (element, text, whether in a link)
         self._read(html)
+        by_name = self._outside_by_name()
+        self._build(by_name)
+        if by_name and not self.blocks:
+            self._build([])
+        self._pieces.clear()
+
+    def _outside_by_name(self) -> list[bool]:
+        """Of each element, whether a name on it or above it puts it outside the main text; empty where none does."""
+        if not any(self.named):
+            return []
+        count = len(self.tag)
+        holds_main, holds_article, free = [m and not o for m, o in zip(self.main, self.out, strict=True)], [t == "article" and not o for t, o in zip(self.tag, self.out, strict=True)], [0] * count
+        for n in range(count - 1, 0, -1):
+            holds_main[self.parent[n]] |= holds_main[n]
+            holds_article[self.parent[n]] |= holds_article[n]
+        aside = [False] * count
+        for n in range(1, count):
+            aside[n] = aside[self.parent[n]] or self.named[n] == _STRONG and not holds_main[n] and not holds_article[n]
+        for _, pieces in self._pieces:
+            for n, piece, linked in pieces:
+                if not linked and not aside[n]:
+                    free[n] += len(piece.strip())
+        for n in range(count - 1, 0, -1):
+            free[self.parent[n]] += free[n]
+        out = [False] * count
+        for n in range(1, count):
+            most = 2 * free[n] > free[0]
+            stays = holds_main[n] or (holds_article[n] and most if self.named[n] == _STRONG else holds_article[n] or most)
+            out[n] = out[self.parent[n]] or bool(self.named[n]) and not stays
+        return out
+
+    def _build(self, outside: list[bool]) -> None:
+        for owner, pieces in self._pieces:
+            if outside:
+                pieces = [p for p in pieces if not outside[p[0]]]
+            block = " ".join("".join([p[1] for p in pieces]).split())
+            if block:
+                self.blocks.append((owner, block, min(sum(len(p[1]) for p in pieces if p[2]), len(block))))
 
     def _read(self, html: str) -> None:
-        stack, text, linked, links, at = [0], [], 0, 0, 0
+        stack, text, links, at = [0], [], 0, 0
         counts: dict[str, int] = {}  # open elements by tag: an end tag without a start costs nothing
         lowered = None
 
         def flush(owner: int) -> None:
-            nonlocal linked
             if text:
-                block = " ".join("".join(text).split())
-                if block:
-                    self.blocks.append((owner, block, min(linked, len(block))))
+                self._pieces.append((owner, text.copy()))
                 text.clear()
-            linked = 0
 
         def owner() -> int:
             for n in reversed(stack):
@@ -84,12 +147,9 @@ class Page:
                     return
 
         def put(piece: str) -> None:
-            nonlocal linked
             if piece and not self.out[stack[-1]]:
                 piece = unescape(piece) if "&" in piece else piece
-                text.append(piece)
-                if links:
-                    linked += len(piece)
+                text.append((stack[-1], piece, links > 0))
 
         while m := _TOKEN.search(html, at):
             put(html[at : m.start()])
@@ -101,7 +161,8 @@ class Page:
             if tag not in _INLINE:
                 flush(owner())
             elif tag in ("br", "wbr", "img") and not self.out[stack[-1]]:
-                text.append(" " if tag != "wbr" else "")
+                if tag != "wbr":
+                    text.append((stack[-1], " ", False))
             if m[1]:
                 if counts.get(tag):
                     close(tag)
@@ -136,7 +197,7 @@ class Page:
                 return
 
     def _open(self, tag: str, attributes: str, parent: int) -> None:
-        classes, words, role, named = [], set(), "", set()
+        classes, ids, words, role, named = [], [], set(), "", set()
         if attributes:
             for a in _ATTR.finditer(attributes):
                 value = (a[2] or a[3] or a[4] or "").lower()
@@ -145,20 +206,25 @@ class Page:
                 else:
                     named.update(value.split())
                     words.update(_WORDS.findall(value))
-                    if key == "class":
-                        classes += [re.sub(r"\d+", "#", c) for c in value.split()]
+                    (classes if key == "class" else ids).extend(value.split())
         out = tag in _OUT or role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert")
-        if tag == "header" or named & _OUT_NAMES:
-            n = parent
-            while n > 0 and self.tag[n] not in ("article", "main"):
-                n = self.parent[n]
-            out = out or n <= 0
-        out = out or tag not in _WHOLE and bool(words & _OUT_WORDS)
+        inside, main = self.inside_article[parent], tag == "main" or role == "main"
+        out = out or tag == "header" and not inside
+        how = 0
+        if tag not in _WHOLE and not main:
+            if named & _OUT_NAMES and not inside:
+                how = _STRONG
+            if words & _OUT_WORDS:
+                how = max([how, *(_names_furniture(c, False, inside) for c in classes), *(_names_furniture(i, True, inside) for i in ids if tag not in _NO_IDS)])
+            if how and not _LAYOUT.isdisjoint(classes):
+                how = _WEAK
         self.parent.append(parent)
         self.tag.append(tag)
-        self.name.append(".".join((tag, *sorted(set(classes)))))
+        self.name.append(".".join((tag, *sorted({re.sub(r"\d+", "#", c) for c in classes}))))
         self.out.append(out or self.out[parent])
-        self.main.append(tag == "main" or role == "main")
+        self.named.append(how)
+        self.inside_article.append(inside or tag in ("article", "main"))
+        self.main.append(main)
         self.good.append(tag in ("article", "main") or role == "main" or bool(words & _GOOD_WORDS))
 
     def best(self) -> tuple[int, list[float]]:

@@ -285,3 +285,19 @@ def test_a_hosts_path_loses_no_text_of_a_page(spark):
     rows = [(n, f"http://h.example/{n}", page_of(inner)) for n in range(3)] + [(9, "http://h.example/9", page_of(odd))]
     out = {r["page_id"]: r["text"] for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert out == {**dict.fromkeys(range(3), f"Headline\n{LONG.strip()}"), 9: f"Short.\n{LONG.strip()}"}
+
+
+ARTICLE = f"<article><h1>Headline</h1><p>{LONG}</p></article>"
+NAMED = [
+    *((f"<div class='{c}'>{a}<div class=sidebar><p>aside text</p></div></div>", ["Headline", LONG.strip()]) for c in ("content-sidebar-wrap", "page has-sidebar", "site nav-closed", "page sidebar", "sidebar") for a in (ARTICLE, ARTICLE.replace("article>", "main>"))),
+    *((f"<div class='{c}'><h1>Headline</h1><p>{LONG}</p><div class=sidebar><p>aside text</p></div></div><p>Other.</p>", ["Headline", LONG.strip(), "Other."]) for c in ("content-sidebar-wrap", "page has-sidebar", "site nav-closed")),
+    (f"<article><p>{LONG}</p><h2 id='related-work'>Related work</h2><p id=comment>It is known.</p><section id='sharing-and-share-prices'><p>Shares rose.</p></section></article>", [LONG.strip(), "Related work", "It is known.", "Shares rose."]),
+    (f"<div class=widget><p>{LONG}</p></div>", [LONG.strip()]),
+    (f"<article><p>Short.</p><div class='share-buttons'>Share</div></article><div id=comments class=comment-list><p>{LONG}</p></div><div class='related-posts'><article><p>Card.</p></article></div>", ["Short."]),
+    (f"<div class=story><p>Short <span class=ad>ad</span>text.</p></div><div class=left-sidebar><p>{LONG}</p></div><div class=cookie-notice><p>{LONG}</p></div>", ["Short text."]),
+]
+
+
+@pytest.mark.parametrize("inner, expected", NAMED)
+def test_names_put_furniture_outside_but_no_article(inner, expected):
+    assert html_main.extract(page_of(inner), None)[0].split("\n") == expected
