@@ -1,7 +1,8 @@
 """License scans with a positional rare-token index.
 
 A template is a sequence of words. The inverse document frequency of every template word is counted over the corpus; a
-file is looked up by each template's rarest words only, and only a file that holds one is searched further. There each
+file is looked up by each template's rarest words only, so many that the rest of the template weighs too little to be
+found without them, and only a file that holds one is searched further. There each
 posting of a rare word, less its place in the template, proposes a start; the postings of the template's other words are
 intersected with the starts by relative position, and weighted by frequency. A phrase template needs every word; a longer
 template needs a share of its weight and, near the start, one of its mandatory key phrases word for word.
@@ -34,7 +35,7 @@ TEMPLATES = (
     ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by", ("creative commons attribution 4 0 international", "creative commons attribution license")),
     ("this is free and unencumbered software released into the public domain", "unlicense", ("unencumbered software released into the public domain",)),
 )
-#: Least share of a longer template's weight, rare words that look it up, and words that its place may be off by.
+#: Least share of a longer template's weight, rare words that look it up at least, and words that its place may be off by.
 LEAST, LOOKUPS, SLACK = 0.7, 2, 3
 
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
@@ -58,7 +59,8 @@ class Index:
         for text, label, keys in (*((p, lab, (p,)) for p, lab in phrases), *templates):
             words = _seq(text)
             exact = keys == (text,)
-            rare = sorted({w for w in words if df.get(w)}, key=lambda w: (-idf(w), w))[: 1 if exact else LOOKUPS]
+            rare = sorted({w for w in words if df.get(w) or not exact}, key=lambda w: (-idf(w), w))
+            rare = rare[: 1 if exact else self._lookups(rare, words, idf)]
             slots = sorted(range(len(words)), key=lambda i: (-idf(words[i]), i))
             if exact and any(not df.get(w) for w in words):
                 rare = []  # a word that no document holds: the phrase stands nowhere
@@ -66,6 +68,17 @@ class Index:
         self.lookup = frozenset(w for e in self.entries for w in e[4])
         self.vocabulary = frozenset(w for e in self.entries for s in (e[0], *e[2]) for w in s)
 
+    @staticmethod
+    def _lookups(rare: list[bytes], words: tuple[bytes, ...], idf) -> int:
+        """How many of the rare words look a template up: LOOKUPS at least, and so many that all others together weigh
+        less than LEAST (by a margin for rounding)."""
+        total = rest = sum(map(idf, words))
+        for n, w in enumerate(rare):
+            if n >= LOOKUPS and rest < (LEAST - 1e-6) * total:
+                return n
+            rest -= idf(w) * words.count(w)
+        return len(rare)
+
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], dict[str, float]]:
         """(places of phrases: start, label; best share of weight for each label found)"""
         if self.lookup.isdisjoint(words):
