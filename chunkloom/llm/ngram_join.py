@@ -14,7 +14,8 @@ No pair is ever written: a block gives each class its number of links and its ro
 
 Defined results: null text, empty text and white space have no shingle, link with nothing and are classes of their own;
 a text of one to four words is one shingle; repeated rows are copies like others (each row gets a row); copies count as
-links; an empty table gives an empty result. Columns besides id and text are ignored.
+links; a text that only rows without an id have links like others, and those rows take the smallest id of their class;
+an empty table gives an empty result. Columns besides id and text are ignored.
 """
 
 from __future__ import annotations
@@ -239,9 +240,8 @@ def _verify(threshold: float):
     return run
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row for each row of docs: id, class_id (smallest id reachable by links), n_links (other rows linked directly),
-    kept (the row with the smallest id; of repeated rows of that id, each)."""
+def _groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """The columns of jaccard_groups, with set_id and component (the class as a set_id; both null where a text has no shingle)."""
     minhash = MinHash(*choose_bands(threshold, recall))
     spark = docs.sparkSession
     rows = cut(signed(docs, id_col, text_col, minhash, words))
@@ -249,7 +249,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     comps = connected_components(candidate_edges(reps, minhash, threshold))
     blocks = comps.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     verts = cut(comps.join(blocks, "component").join(reps.select(F.col("set_id").alias("v"), "rep", "n"), "v").select("v", F.col("component").alias("comp"), "blocks", "n", F.col("rep").alias("id")))
-    n_verts = verts.count()
+    n_verts, n_nameless = verts.agg(F.count(F.lit(1)), F.count_if(F.col("id").isNull())).first()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     wanted = texts.join(F.broadcast(verts) if n_verts <= BROADCAST_ROWS else verts, "id")
 
@@ -262,6 +262,18 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield part[[set_name(s) == v for s, v in zip(sets, part["v"], strict=True)]]  # an id may stand with several texts
 
     sets = wanted.mapInPandas(with_sets, "v binary, comp binary, blocks long, n long, shingles binary")
+    if n_nameless:  # texts that only rows without an id have are found by their sets
+
+        def all_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                texts = [t if isinstance(t, str) else "" for t in pdf["text"].tolist()]
+                for a, b in _slices(texts):
+                    of = [s for s in shingle_sets(texts[a:b], words) if len(s)]
+                    yield pd.DataFrame({"v": [set_name(s) for s in of], "shingles": [s.tobytes() for s in of]})
+
+        nameless = verts.filter("id is null").drop("id")
+        found = texts.filter("id is null").select("text").mapInPandas(all_sets, "v binary, shingles binary").dropDuplicates(["v"])
+        sets = sets.unionByName(found.join(F.broadcast(nameless) if n_nameless <= BROADCAST_ROWS else nameless, "v").select(*sets.columns))
     packs = max(1, math.ceil(n_verts / PACK))
     dealt = sets.withColumn("block", F.pmod(F.xxhash64("v"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
@@ -271,10 +283,16 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = connected_components(found.select(F.col("v").alias("a"), F.col("root").alias("b")))
     info = reps.select(F.col("set_id").alias("v"), "rep", "n").join(links, "v", "left").join(classes, "v", "left").withColumn("component", F.coalesce("component", "v"))
     info = info.join(info.groupBy("component").agg(F.min("rep").alias("class_id")), "component")
-    info = info.select(F.col("v").alias("set_id"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    some = rows.filter("set_id is not null").select("id", "set_id").join(info, "set_id").select("id", "class_id", "n_links")
-    none = rows.filter("set_id is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return some.unionByName(none).select(F.col("id").alias(id_col), "class_id", "n_links", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    info = info.select(F.col("v").alias("set_id"), "component", "class_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    some = rows.filter("set_id is not null").select("id", "set_id").join(info, "set_id").select("id", "class_id", "n_links", "set_id", "component")
+    none = rows.filter("set_id is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "set_id", F.col("set_id").alias("component"))
+    return some.unionByName(none).select(F.col("id").alias(id_col), "class_id", "n_links", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), "set_id", "component")
+
+
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row for each row of docs: id, class_id (smallest id reachable by links), n_links (other rows linked directly),
+    kept (the row with the smallest id; of repeated rows of that id, each)."""
+    return _groups(docs, id_col, text_col, words, threshold, recall).drop("set_id", "component")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -65,6 +65,16 @@ def test_near_copies_without_broadcast(spark, monkeypatch):
     assert {r["doc_id"] for r in ngram_join.deduplicated(df).collect()} == {i for i, (c, _) in expected.items() if i == c}
 
 
+def test_near_copies_of_rows_without_an_id(spark):
+    words = [f"word{i}" for i in range(100)]
+    text = " ".join(words)
+    near, other = text + " end", " ".join(reversed(words))
+    rows = [(7, text), (None, near), (None, near), (8, "quite another text of some words"), (None, other), (None, other + " end")]
+    out = ngram_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    expected = [(7, 7, 2, True), (None, 7, 2, False), (None, 7, 2, False), (8, 8, 0, True), (None, None, 1, True), (None, None, 1, True)]
+    assert sorted(map(tuple, out), key=repr) == sorted(expected, key=repr)
+
+
 def test_near_copies_odd_rows(spark, odd, empty):
     rows = [(r["doc_id"], r["class_id"], r["n_links"], r["kept"]) for r in ngram_join.jaccard_groups(odd).collect()]
     assert sorted(rows, key=repr) == sorted([(1, 1, 0, True), (2, 2, 0, True), (3, 3, 0, True), (4, 4, 2, True), (4, 4, 2, True), (5, 4, 2, False), (None, None, 0, True), (6, 6, 0, True)], key=repr)
