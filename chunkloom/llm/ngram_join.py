@@ -297,13 +297,29 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that are near-copies of one with a smaller id; one row of each group stays. Where ids repeat,
-    rows that repeat both id and text leave one."""
-    groups = cut(jaccard_groups(docs, id_col, text_col))
-    kept = groups.filter("kept").select(F.col(id_col).alias("_j_id")).distinct()
-    small = kept.count() <= BROADCAST_ROWS
-    out = docs.join(F.broadcast(kept) if small else kept, docs[id_col].eqNullSafe(F.col("_j_id")), "left_semi")
-    repeated = not groups.groupBy(id_col).count().filter("count > 1").isEmpty()
-    return out.dropDuplicates([id_col, text_col]) if repeated else out
+    rows are told apart by their sets too: of near-copies with one id a row of the first set stays, with its first text;
+    of rows without a shingle, those that repeat both id and text leave one."""
+    groups = cut(_groups(docs, id_col, text_col))
+    kept = groups.filter("kept")
+    if groups.groupBy(id_col).count().filter("count > 1").isEmpty():
+        ids = kept.select(F.col(id_col).alias("_j_id"))
+        small = ids.count() <= BROADCAST_ROWS
+        return docs.join(F.broadcast(ids) if small else ids, docs[id_col].eqNullSafe(F.col("_j_id")), "left_semi")
+
+    @F.pandas_udf("binary")
+    def names(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in batches:
+            texts = [t if isinstance(t, str) else "" for t in series.tolist()]
+            yield pd.Series([set_name(s) for a, b in _slices(texts) for s in shingle_sets(texts[a:b])], dtype=object)
+
+    named = docs.withColumn("_j_set", names(F.col(text_col)))
+    first = kept.filter("set_id is not null").groupBy("component").agg(F.min("set_id").alias("set_id"), F.first(id_col).alias("id"))
+    rows = cut(first.select("id", "set_id").unionByName(kept.filter("set_id is null").select(F.col(id_col).alias("id"), "set_id").distinct()).toDF("_j_id", "_j_kept"))
+    small = rows.count() <= BROADCAST_ROWS
+    out = cut(named.join(F.broadcast(rows) if small else rows, named[id_col].eqNullSafe(F.col("_j_id")) & F.col("_j_set").eqNullSafe(F.col("_j_kept")), "left_semi"))
+    texts = out.filter("_j_set is not null").groupBy(F.col("_j_set").alias("_j_kept")).agg(F.min(text_col).alias("_j_text"))
+    out = out.join(texts, F.col("_j_set") == F.col("_j_kept"), "left").filter(F.col("_j_set").isNull() | (F.col(text_col) == F.col("_j_text")))
+    return out.select(*docs.columns).dropDuplicates([id_col, text_col])
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

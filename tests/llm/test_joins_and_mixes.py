@@ -75,6 +75,14 @@ def test_near_copies_of_rows_without_an_id(spark):
     assert sorted(map(tuple, out), key=repr) == sorted(expected, key=repr)
 
 
+def test_near_copies_with_repeated_ids_leave_one_row_of_each_group(spark):
+    text, other, third = (" ".join(f"{w}{i}" for i in range(100)) for w in ("a", "b", "c"))
+    rows = [(1, text), (5, other), (5, text + " end"), (6, third), (6, third + " end"), (6, third.upper()), (7, ""), (7, other + " end"), (7, None), (7, "")]
+    out = {tuple(r) for r in ngram_join.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    of_6 = {r for r in out if r[0] == 6}
+    assert out - of_6 == {(1, text), (5, other), (7, ""), (7, None)} and len(of_6) == 1
+
+
 def test_near_copies_odd_rows(spark, odd, empty):
     rows = [(r["doc_id"], r["class_id"], r["n_links"], r["kept"]) for r in ngram_join.jaccard_groups(odd).collect()]
     assert sorted(rows, key=repr) == sorted([(1, 1, 0, True), (2, 2, 0, True), (3, 3, 0, True), (4, 4, 2, True), (4, 4, 2, True), (5, 4, 2, False), (None, None, 0, True), (6, 6, 0, True)], key=repr)
