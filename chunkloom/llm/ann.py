@@ -3,12 +3,13 @@
 On a bounded sample the exact neighbour graph is built and cut into balanced parts (nodes move to the part that holds
 most of their neighbours, within a capacity); a small classifier learns each vector's distribution over the parts of its
 neighbours. Every row is indexed under its most probable part; a query visits its most probable parts, as many as gave
-the target recall on the sample, and is compared there with every row, in blocks, in double precision.
+the target recall on rows of the sample that the router wasn't fitted to, and is compared there with every row, in blocks,
+in double precision. A query that finds fewer rows than it asks for visits all parts.
 
 Fitted on at most about SAMPLE rows, drawn by a hash of the id. Every row is indexed and no part has a cap.
 
-Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those whose
-length isn't the sample's most frequent; ties go to the smaller id; rows that repeat an id are all candidates of other
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part; those whose
+length isn't the sample's most frequent are compared with all of their own length; ties go to the smaller id; rows that repeat an id are all candidates of other
 queries, and none of a query of that id; a query id that stands several times is one query for each distinct vector, ranked together;
 empty tables give empty results.
 """
@@ -28,6 +29,8 @@ from chunkloom.llm.embed_dedup import clean
 SAMPLE, PARTS, NEIGHBOURS, HIDDEN = 4096, 16, 20, 64
 TARGET = 0.97
 ITEMS, QUERIES = 8192, 1024
+#: One in so many rows of the sample is held out of the fit, to choose the number of parts visited.
+HELD_OUT = 8
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -87,6 +90,8 @@ class Router:
         if len(x) < 4 * parts:
             return
         self.parts = parts
+        every, held = x, rng.permutation(len(x))[: len(x) // HELD_OUT]
+        x = np.delete(every, held, axis=0)
         graph = neighbour_graph(x, NEIGHBOURS)
         part = balanced_parts(x, graph, parts)
         goal = np.stack([np.bincount(row, minlength=parts) for row in part[graph]]) + 4 * np.eye(parts)[part]
@@ -105,10 +110,10 @@ class Router:
                 s[k] = 0.999 * s[k] + 0.001 * g * g
                 p[k] -= 0.01 * (1 - step / 801) * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
         self.w = p
-        order = self.order(x)
-        place = np.empty_like(order)
-        np.put_along_axis(place, order, np.broadcast_to(np.arange(parts), order.shape), axis=1)
-        needed = np.take_along_axis(place, order[:, 0][graph], axis=1)  # at which visit each true neighbour is met
+        order = self.order(every)
+        place = np.empty_like(order[held])
+        np.put_along_axis(place, order[held], np.broadcast_to(np.arange(parts), place.shape), axis=1)
+        needed = np.take_along_axis(place, order[:, 0][neighbour_graph(every, NEIGHBOURS)[held]], axis=1)  # at which visit each true neighbour is met
         self.recall = [(needed < k).mean() for k in range(1, parts + 1)]
         self.probes = next((k for k, r in enumerate(self.recall, 1) if r >= target), parts)
 
@@ -136,10 +141,9 @@ def train(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     return Router(np.array([r["x"] for r in sorted(drawn) if len(r["x"]) == dim]), parts, target)
 
 
-def routed(vectors: DataFrame, router: Router, visits: bool) -> DataFrame:
-    """v, x, part: each row under its most probable part, or under all parts that a query visits."""
+def routed(vectors: DataFrame, router: Router, k: int) -> DataFrame:
+    """v, x, part: each row under its k most probable parts. Each other length than the router's is a part of its own."""
     shared = vectors.sparkSession.sparkContext.broadcast(router)
-    k = router.probes if visits else 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -150,7 +154,8 @@ def routed(vectors: DataFrame, router: Router, visits: bool) -> DataFrame:
                 pdf = pdf.assign(part=0)
             yield pdf
 
-    return vectors.select("v", "x").mapInPandas(run, f"v {vectors.schema['v'].dataType.simpleString()}, x array<double>, part long")
+    by_router = vectors.filter(F.size("x") == router.dim).select("v", "x").mapInPandas(run, f"v {vectors.schema['v'].dataType.simpleString()}, x array<double>, part long")
+    return by_router.unionByName(vectors.filter(F.size("x") != router.dim).select("v", "x", (-F.size("x")).cast("long").alias("part")))
 
 
 def _nearest(k: int):
@@ -176,22 +181,36 @@ def _nearest(k: int):
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame, router: Router, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: for each query its k nearest of the rows in the parts that it visits."""
-    usable = lambda df: df.select(F.col(id_col).alias("v"), F.col(vector_col).cast("array<double>").alias("x")).filter(F.col("v").isNotNull() & clean(F.col("x")) & (F.size("x") == router.dim))
-    items, asked = routed(usable(vectors), router, False), cut(routed(usable(queries), router, True))
-    items = cut(items)
-    # a row per part, at most PARTS: sizes in blocks
+def _found(items: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: for each query its k nearest of the rows in the parts that it is routed to."""
+    # a row per part (at most PARTS, and one for each other length): sizes in blocks
     sizes = F.broadcast(items.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / ITEMS).alias("vbs")).join(asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("qbs")), "part"))
     a = items.join(sizes, "part").withColumn("vb", F.pmod(F.xxhash64("v"), "vbs")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qbs") - 1)))
     b = asked.join(sizes, "part").withColumn("qb", F.pmod(F.xxhash64("v"), "qbs")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("vbs") - 1)))
     dealt = a.select("part", "vb", "qb", "v", "x", F.lit(False).alias("asks")).unionByName(b.select("part", "vb", "qb", "v", "x", F.lit(True).alias("asks")))
-    kind = vectors.schema[id_col].dataType.simpleString()
+    kind = items.schema["v"].dataType.simpleString()
     found = dealt.groupBy("part", "vb", "qb").applyInPandas(_nearest(k), f"query_id {kind}, vec_id {kind}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def search(vectors: DataFrame, queries: DataFrame, router: Router, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: for each query its k nearest of the rows in the parts that it visits; of all rows of
+    its length where those parts hold fewer than k others."""
+    usable = lambda df: df.select(F.col(id_col).alias("v"), F.col(vector_col).cast("array<double>").alias("x")).filter(F.col("v").isNotNull() & clean(F.col("x")))
+    items, asked = cut(routed(usable(vectors), router, 1)), cut(routed(usable(queries), router, router.probes))
+    found = _found(items, asked, k)
+    if router.probes >= router.parts:
+        return found
+    found = cut(found)
+    full = found.filter(F.col("rank") == k).select(F.col("query_id").alias("v"))
+    few = cut(asked.select("v").distinct().join(full, "v", "left_anti"))
+    if few.isEmpty():
+        return found
+    again = routed(usable(queries).join(few, "v", "left_semi"), router, router.parts)
+    return found.join(few, F.col("query_id") == F.col("v"), "left_anti").unionByName(_found(items, cut(again), k))
+
+
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     router = train(vectors) or Router(np.zeros((0, 1)))

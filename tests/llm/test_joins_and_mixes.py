@@ -198,6 +198,31 @@ def test_parts_are_balanced():
     assert sizes.max() <= math.ceil(600 / 8 * 1.1)
 
 
+def test_neighbours_of_few_rows_in_a_part_and_of_other_lengths(spark):
+    rows = clustered(200, 7)
+    df = spark.createDataFrame(rows + [(1000 + i, [1.0, float(i), 2.0], 0) for i in range(30)], VECTORS)
+    router = ann.train(df, parts=8, target=0.0)
+    assert router.probes == 1 and router.dim == len(rows[0][1])
+    by = {}
+    for r in ann.search(df, df.filter("vec_id % 20 = 0"), router).collect():
+        by.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    asked = {r["vec_id"] for r in df.filter("vec_id % 20 = 0").collect()}
+    assert set(by) == asked and all(len(v) == 20 for v in by.values())
+    assert [v for _, v in sorted(by[1000])] == list(range(1001, 1021))
+    assert [v for _, v in sorted(by[1020])] == list(range(1029, 1008, -1))[:9] + list(range(1019, 1008, -1))
+
+
+def test_parts_visited_are_chosen_on_rows_held_out():
+    """Of vectors without structure the fit knows nothing about others: the visits it chooses hold for new rows."""
+    x = np.random.default_rng(8).normal(size=(1600, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    router = ann.Router(x[:800], parts=8, target=0.9)
+    order = router.order(x)
+    near = ann.neighbour_graph(x, 20)[800:]
+    met = (order[800:, None, : router.probes] == order[:, 0][near][:, :, None]).any(axis=2).mean()
+    assert met >= 0.88
+
+
 def test_neighbours_odd_rows(spark):
     df = spark.createDataFrame(ODD_VECTORS + [(920, [3.0] * 16, 1)], VECTORS)
     out = ann.search(df, df.filter("vec_id % 20 = 0"), ann.train(df)).collect()
