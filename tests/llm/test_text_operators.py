@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,21 +29,32 @@ def library():
     return t
 
 
-HARD = ["", "   ", "It's THE ΣΑΣ \x1c\x1d x́é ½ ² Ⅷ <|endoftext|>a<|startoftext|> <|foo|>", "aaaa aaaaaaa aaaaaaaaaaaaaaaaaa", "日本語 😀😀 don't'll", "\x00\x01​　b", "x" * 3000, "!!'s ''' 'd", "1234 5a6"]
+HARD = ["", "   ", "It's THE ΣΑΣ \x1c\x1d x́é ½ ² Ⅷ <|endoftext|>a<|startoftext|> <|foo|>", "aaaa aaaaaaa aaaaaaaaaaaaaaaaaa", "日本語 😀😀 don't'll", "\x00\x01​　b", "x" * 3000, "!!'s ''' 'd", "1234 5a6", "'s", "'", "'sx 'rex 'r 've'll", "<|endoftext|><|endoftext|>", "q" * 100 + "1" + "z" * 70, "S K İ i̇"]
 
 
-def test_bpe_like_the_library(automaton, library, spark, sf):
-    texts = HARD + [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    for text, (n, ids, decoded) in zip(texts, bpe.Encoder(automaton).encode_batch(texts), strict=True):
+@pytest.mark.parametrize("size", [500_000, 300])
+def test_bpe_like_the_library(automaton, library, spark, sf, monkeypatch, size):
+    """Also with slices so small that long texts are encoded in pieces."""
+    monkeypatch.setattr(bpe, "SLICE", size)
+    texts = HARD + [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    encoder, at = bpe.Encoder(automaton, words=2000), 0
+    counts, ids = encoder.encode(texts)
+    whole, parts = ([b"".join(x).decode() for x in encoder.emitted(counts, ids, automaton.labels, block)] for block in (1 << 20, 1000))
+    assert whole == parts
+    for text, n, decoded in zip(texts, counts.tolist(), whole, strict=True):
         expected = library.encode(text, add_special_tokens=False).ids
-        assert (n, ids) == (len(expected), " ".join(map(str, expected)))
-        assert decoded == library.decode(expected, skip_special_tokens=False) == bpe.Encoder(automaton).decode(expected)
+        assert ids[at : at + n].tolist() == expected
+        assert decoded == library.decode(expected, skip_special_tokens=False) == encoder.decode(expected)
+        at += n
 
 
 def test_bpe_paths_of_few_and_many_words_agree(automaton):
     rng = np.random.default_rng(0)
-    words = [bytes(rng.choice(list(b"aeinorstth"), 9)) for _ in range(200)]
-    assert automaton.encode_words(words) == [automaton.encode_long(w) for w in words]
+    words = [bytes(rng.choice(list(b"aeinorstth"), rng.integers(1, 12))) for _ in range(300)]
+    counts, ids = automaton.encode_words(pa.array(words, pa.binary()))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [automaton.encode_long(w) for w in words]
+    long = b"the cat sat on a mat".replace(b" ", b"") * 40
+    assert automaton.encode_long(long, block=50) == automaton.encode_long(long)
 
 
 def test_bpe_small_automaton_is_merging_by_rank():
@@ -65,7 +77,7 @@ def test_bpe_small_automaton_is_merging_by_rank():
                     if rank.get((parts[i], parts[i + 1])) == best:
                         parts[i : i + 2] = [parts[i] + parts[i + 1]]
                     i += 1
-            assert [auto.labels[t] for t in auto.encode_long("".join(word).encode())] == parts
+            assert [auto.labels[t].as_py().decode().strip() for t in auto.encode_long("".join(word).encode())] == parts
 
 
 def test_bpe_odd_rows(odd, empty):
@@ -73,6 +85,9 @@ def test_bpe_odd_rows(odd, empty):
     nothing = hashlib.sha256(b"").hexdigest()
     assert len(rows) == odd.count()
     assert all((r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (0, nothing, nothing) for r in rows if r["doc_id"] in (1, 2, 3))
+    for r in rows:
+        assert r["n_tokens"] == len(r["ids"]) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, r["ids"])).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(r["decoded"].encode()).hexdigest()
     assert bpe.encode_texts(empty, TOKENIZER).count() == 0
 
 
