@@ -31,12 +31,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, the token ids, and digests of ids and decoded text, a row for each copy in the mix."""
+    """doc_id, n_tokens, digests of ids and decoded text, and the token ids, a row for each copy in the mix."""
     import public_tokenizers
 
-    out = bpe.encode_texts(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("ids",))
-    ids = F.when(F.col("ids") == "", F.array().cast("array<int>")).otherwise(F.split("ids", " ").cast("array<int>"))
-    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", ids.alias("ids"))
+    return bpe.encode_texts(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("ids",))
 
 
 STAGES = [
