@@ -155,8 +155,12 @@ def test_vector_bounds_hold_and_estimates_are_unbiased():
     r = embed_dedup.Rotation(64)
     codes, factors = r.codes(x)
     true = x[:50] @ x.T
-    est, upper = embed_dedup.bounds(codes, factors, x[:50].astype(np.float32) @ r.matrix)
-    assert (true <= upper + 1e-5).all()
+    rotated = x[:50].astype(np.float32) @ r.matrix
+    est = embed_dedup.estimates(codes, factors, rotated)
+    exact = embed_dedup.upper_bounds(codes, factors, rotated, np.zeros(50, np.float32))
+    q, step, lost = embed_dedup.rounded(rotated)
+    upper = embed_dedup.upper_bounds(codes, factors, q * step[:, None], lost)
+    assert (true <= exact + 1e-5).all() and (exact <= upper + 1e-5).all() and (upper - exact).max() < 0.03
     off = ~np.eye(50, 400, dtype=bool)
     assert abs((est - true)[off].mean()) < 0.005 and (upper[off] < 0.93).mean() > 0.9
 
