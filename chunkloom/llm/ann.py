@@ -6,16 +6,19 @@ neighbours. Every row is indexed under its most probable part; a query visits it
 the target recall on rows of the sample that the router wasn't fitted to, and is compared there with every row, in blocks,
 in double precision. A query that finds fewer rows than it asks for visits all parts.
 
-Fitted on at most about SAMPLE rows, drawn by a hash of the id. Every row is indexed and no part has a cap.
+Fitted on at most SAMPLE rows, or PER_PART for each part if that is more: different ones, drawn by a hash of id and vector.
+The number of parts grows with the root of the number of rows, from PARTS to MOST_PARTS. Every row is indexed and no part
+has a cap.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part; those whose
 length isn't the sample's most frequent are compared with all of their own length; ties go to the smaller id; rows that repeat an id are all candidates of other
-queries, and none of a query of that id; a query id that stands several times is one query for each distinct vector, ranked together;
-empty tables give empty results.
+queries, and none of a query of that id; a query id that stands several times is one query, of its smallest vector (in
+the order of arrays); empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chunkloom.llm._common import cut, table
+from chunkloom.llm._common import cut, table, tidy
 from chunkloom.llm.embed_dedup import clean
 
 SAMPLE, PARTS, NEIGHBOURS, HIDDEN = 4096, 16, 20, 64
+MOST_PARTS, PER_PART = 256, 64
 TARGET = 0.97
 ITEMS, QUERIES = 8192, 1024
 #: One in so many rows of the sample is held out of the fit, to choose the number of parts visited.
@@ -130,10 +134,19 @@ class Router:
         return np.argsort(-(h @ self.w[2] + self.w[3]), axis=1, kind="stable")
 
 
-def train(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, parts: int = PARTS, target: float = TARGET) -> Router | None:
+def parts_for(n: int) -> int:
+    """The number of parts for n rows: a power of two near sqrt(n) / 16, between PARTS and MOST_PARTS."""
+    return min(MOST_PARTS, max(PARTS, 1 << round(math.log2(max(1.0, math.sqrt(n) / 16)))))
+
+
+def train(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, parts: int | None = None, target: float = TARGET) -> Router | None:
     good = vectors.select(F.col(id_col).alias("v"), F.col(vector_col).cast("array<double>").alias("x")).filter(F.col("v").isNotNull() & clean(F.col("x")))
     n = good.count()
-    drawn = good.filter(F.pmod(F.xxhash64(F.lit(41), "v"), F.lit(1 << 30)) < min(1.0, sample / max(1, n)) * (1 << 30)).collect()
+    parts = parts or parts_for(n)
+    most = max(sample, PER_PART * parts)
+    draw = F.pmod(F.xxhash64(F.lit(41), "v", "x"), F.lit(1 << 30))
+    # equal rows are drawn together and count once; the limit is exact, whatever the rate lets through
+    drawn = good.filter(draw < min(1.0, 1.1 * most / max(1, n)) * (1 << 30)).distinct().orderBy(draw, "v", "x").limit(most).collect()
     if not drawn:
         return None
     dims = pd.Series([len(r["x"]) for r in drawn])
@@ -154,7 +167,7 @@ def routed(vectors: DataFrame, router: Router, k: int) -> DataFrame:
                 pdf = pdf.assign(part=0)
             yield pdf
 
-    by_router = vectors.filter(F.size("x") == router.dim).select("v", "x").mapInPandas(run, f"v {vectors.schema['v'].dataType.simpleString()}, x array<double>, part long")
+    by_router = vectors.filter(F.size("x") == router.dim).select("v", "x").mapInPandas(tidy(run), f"v {vectors.schema['v'].dataType.simpleString()}, x array<double>, part long")
     return by_router.unionByName(vectors.filter(F.size("x") != router.dim).select("v", "x", (-F.size("x")).cast("long").alias("part")))
 
 
@@ -185,7 +198,7 @@ def _found(items: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: for each query its k nearest of the rows in the parts that it is routed to."""
     # a row per part (at most PARTS, and one for each other length): sizes in blocks
     sizes = F.broadcast(items.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / ITEMS).alias("vbs")).join(asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("qbs")), "part"))
-    a = items.join(sizes, "part").withColumn("vb", F.pmod(F.xxhash64("v"), "vbs")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qbs") - 1)))
+    a = items.join(sizes, "part").withColumn("vb", F.pmod(F.xxhash64("v", "x"), "vbs")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qbs") - 1)))
     b = asked.join(sizes, "part").withColumn("qb", F.pmod(F.xxhash64("v"), "qbs")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("vbs") - 1)))
     dealt = a.select("part", "vb", "qb", "v", "x", F.lit(False).alias("asks")).unionByName(b.select("part", "vb", "qb", "v", "x", F.lit(True).alias("asks")))
     kind = items.schema["v"].dataType.simpleString()
@@ -198,7 +211,8 @@ def search(vectors: DataFrame, queries: DataFrame, router: Router, k: int = 20,
     """query_id, rank, vec_id, score: for each query its k nearest of the rows in the parts that it visits; of all rows of
     its length where those parts hold fewer than k others."""
     usable = lambda df: df.select(F.col(id_col).alias("v"), F.col(vector_col).cast("array<double>").alias("x")).filter(F.col("v").isNotNull() & clean(F.col("x")))
-    items, asked = cut(routed(usable(vectors), router, 1)), cut(routed(usable(queries), router, router.probes))
+    wanted = usable(queries).groupBy("v").agg(F.min("x").alias("x"))
+    items, asked = cut(routed(usable(vectors), router, 1)), cut(routed(wanted, router, router.probes))
     found = _found(items, asked, k)
     if router.probes >= router.parts:
         return found
@@ -207,7 +221,7 @@ def search(vectors: DataFrame, queries: DataFrame, router: Router, k: int = 20,
     few = cut(asked.select("v").distinct().join(full, "v", "left_anti"))
     if few.isEmpty():
         return found
-    again = routed(usable(queries).join(few, "v", "left_semi"), router, router.parts)
+    again = routed(wanted.join(few, "v", "left_semi"), router, router.parts)
     return found.join(few, F.col("query_id") == F.col("v"), "left_anti").unionByName(_found(items, cut(again), k))
 
 
