@@ -6,11 +6,13 @@ contexts. A text's language is the one with the lowest cross-entropy per symbol;
 set-aside texts turns entropies into a score, and a text whose entropy lies beyond what set-aside texts of that language
 show is marked as rejected.
 
-Fitted on a bounded sample: about TRAIN_CHARS characters for each language, drawn by a hash of the row, whole texts only.
+Fitted on a bounded sample: different whole texts, drawn by a hash, of at most TRAIN_CHARS characters for each language and
+TRAIN_TOTAL for all, of the TRAIN_LANGS languages that have most text. Equal texts of a language count once.
 
 Defined results: null text, and text without a letter, is `und` with score 0 and rejected; empty tables give empty results;
 if there is nothing to learn from, every text is `und`; a null id is in no training fold; ties go to the first language
-in code point order; very long texts are scored whole, in slices.
+in code point order; very long texts are scored whole, in pieces that carry the symbols before them; repeated rows each get
+their row; result columns take the place of input columns of the same name.
 """
 
 from __future__ import annotations
@@ -21,19 +23,20 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chunkloom.llm._common import bucket_of, table
+from chunkloom.llm._common import bucket_of, slices, table, tidy
 
 ORDER = 5
-TRAIN_CHARS = 800_000
+TRAIN_CHARS, TRAIN_TOTAL, TRAIN_LANGS = 800_000, 24_000_000, 500
 #: Every fifth sampled text fits the calibration, not the counts.
 CALIBRATE_EVERY = 5
-#: Characters that are scored at a time.
-SLICE = 3_000_000
+#: Characters that are scored at a time; a longer text is scored in pieces of as many.
+SLICE = 400_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 UND = "und"
+_RESULT = {"lang_pred": "string", "score": "double", "entropy": "double", "rejected": "boolean"}
 _SPACE, _PAD = 32, 1
 
 
@@ -143,9 +146,8 @@ class Models:
             p = self._find(self.keys[k], self.probs[k], _hash(part), 0.0) + self._find(self.contexts[k], self.masses[k], context, 1.0) * p
         return np.log(p)
 
-    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(nats a symbol for each text and language, symbols, whether each text has a letter)"""
-        cols, n, has = _grams(texts)
+    def _logs(self, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which distinct n-gram each column is, logarithms of those, a column per language)"""
         codes, unique = pd.factorize(_hash(cols))
         first = np.zeros(len(unique), np.int64)
         first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
@@ -154,13 +156,42 @@ class Models:
         new = np.flatnonzero(self.top[at] != unique)
         if len(new):
             logs[new] = self._log_probs(cols[:, first[new]])
-        ends = np.cumsum(n)
-        out = np.zeros((len(texts), len(self.langs)))
-        for lang in range(len(self.langs)):
-            sums = np.concatenate(([0.0], np.cumsum(logs[codes, lang], dtype=np.float64)))
-            out[:, lang] = -(sums[ends] - sums[ends - n]) / np.maximum(n, 1)
+        return codes, logs
+
+    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(nats a symbol for each text and language, symbols, whether each text has a letter)"""
+        out, n, has = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+        for a, b in slices(texts, SLICE):
+            if len(texts[a]) > SLICE:
+                out[a], n[a], has[a] = self._folded(texts[a])
+                continue
+            cols, n[a:b], has[a:b] = _grams(texts[a:b])
+            codes, logs = self._logs(cols)
+            ends = np.cumsum(n[a:b])
+            for lang in range(len(self.langs)):
+                sums = np.concatenate(([0.0], np.cumsum(logs[codes, lang], dtype=np.float64)))
+                out[a:b, lang] = -(sums[ends] - sums[ends - n[a:b]]) / np.maximum(n[a:b], 1)
         return out, n, has
 
+    def _folded(self, text: str) -> tuple[np.ndarray, int, bool]:
+        """The entropies of one long text, piece by piece; the last symbols of a piece go before the next."""
+        sums, n, has, before = np.zeros(len(self.langs)), 0, False, np.full(ORDER - 1, _PAD, np.uint32)
+        after_space = True
+        for at in range(0, len(text), SLICE):
+            points = np.frombuffer(text[at : at + SLICE].encode("utf-32-le", "surrogatepass"), np.uint32)
+            s = symbols()[points]
+            has = has or bool(is_letter()[points].any())
+            space = s == _SPACE
+            keep = ~(space & np.concatenate(([after_space], space[:-1])))
+            after_space = bool(space[-1])
+            s = np.concatenate((before, s[keep]))
+            if len(s) >= ORDER:
+                codes, logs = self._logs(np.stack([s[k : len(s) - ORDER + 1 + k] for k in range(ORDER)]))
+                sums += np.bincount(codes, minlength=len(logs)) @ logs.astype(np.float64)
+                n += len(codes)
+            before = s[-(ORDER - 1) :]
+        return -sums / max(n, 1), n, has
+
 
 class Identifier:
     """Models with calibration: `steep` of the softmax, and each language's usual entropy and its spread."""
@@ -193,48 +224,45 @@ class Identifier:
         return pd.DataFrame({"lang_pred": lang, "score": np.where(has, self._soft(h, self.steep)[rows, best], 0.0), "entropy": np.where(has, entropy, 0.0), "rejected": ~has | (entropy > limit)})
 
 
-def training_texts(docs: DataFrame, lang_col: str, text_col: str, chars: int = TRAIN_CHARS, seed: int = 11) -> dict[str, list[str]]:
-    """A sample of whole texts with about `chars` characters for each language: rows are drawn by a hash against a rate
-    that comes from the language's size, so the sample is bounded, the same in every run, and no group is gathered."""
-    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).agg(F.sum(F.length(text_col))).collect()}
+def training_texts(docs: DataFrame, lang_col: str, text_col: str, chars: int = TRAIN_CHARS, total: int = TRAIN_TOTAL, seed: int = 11) -> dict[str, list[str]]:
+    """Different whole texts of each language, together at most `chars` characters of one and `total` of all: drawn by a
+    hash of the text against a rate that comes from the language's size, equal ones as one (summed where they are read), and
+    then cut to the bound in the order of the hash. The same in every run, and no group is gathered."""
+    known = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = known.groupBy("lang").agg(F.sum(F.length("text")).alias("size")).orderBy(F.desc("size"), "lang").limit(TRAIN_LANGS)
+    sizes = {r[0]: r[1] for r in sizes.collect()}
     if not sizes:
         return {}
-    rate = F.element_at(F.create_map(*(F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, chars / max(1, v))))), F.col(lang_col))
-    drawn = known.filter(F.pmod(F.xxhash64(F.lit(seed), text_col), F.lit(1 << 30)) < rate * (1 << 30)).select(lang_col, text_col)
+    chars = min(chars, total // len(sizes))
+    rate = F.element_at(F.create_map(*(F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, chars / max(1, v))))), F.col("lang"))
+    draw = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30))
+    drawn = known.filter(F.col("lang").isin(list(sizes)) & (F.length("text") <= chars) & (draw < rate * (1 << 30))).distinct()
+    upto = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy(draw, "text").rowsBetween(Window.unboundedPreceding, 0))
     out: dict[str, list[str]] = {}
-    for r in sorted(drawn.collect()):
+    for r in sorted(drawn.withColumn("upto", upto).filter(F.col("upto") <= chars).select("lang", "text").collect()):
         out.setdefault(r[0], []).append(r[1])
     return {k: v for k, v in out.items() if any(map(str.isalpha, "".join(v)))}
 
 
-
-
 def identify(docs: DataFrame, identifier: Identifier | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, lang_pred, score, entropy, rejected for every row of docs."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(identifier)
-    fields = [docs.schema[k] for k in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double, entropy double, rejected boolean"
+    keep = tuple(k for k in keep if k not in _RESULT)
+    schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), *(f"{k} {v}" for k, v in _RESULT.items())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fitted = shared.value
         for pdf in batches:
             texts = [t if isinstance(t, str) else "" for t in pdf[text_col].tolist()]
-            at = 0
-            while at < len(texts):
-                size, to = 0, at
-                while to < len(texts) and (to == at or size + len(texts[to]) <= SLICE):
-                    size += len(texts[to])
-                    to += 1
+            for a, b in slices(texts, SLICE):
                 if fitted is None:
-                    out = pd.DataFrame({"lang_pred": [UND] * (to - at), "score": 0.0, "entropy": 0.0, "rejected": True})
+                    out = pd.DataFrame({"lang_pred": [UND] * (b - a), "score": 0.0, "entropy": 0.0, "rejected": True})
                 else:
-                    out = fitted.predict(texts[at:to])
-                yield pd.concat([pdf[list(keep)].iloc[at:to].reset_index(drop=True), out], axis=1)
-                at = to
+                    out = fitted.predict(texts[a:b])
+                yield pd.concat([pdf[list(keep)].iloc[a:b].reset_index(drop=True), out], axis=1)
 
-    return docs.select(*keep, text_col).mapInPandas(run, schema)
+    return docs.select(*dict.fromkeys((*keep, text_col))).mapInPandas(tidy(run), schema)
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", chars: int = TRAIN_CHARS) -> Identifier | None:
