@@ -5,12 +5,14 @@ half and cover the whole document. Learned filters of WIDTH bytes (a weight for
 the chunks, STRIDE bytes at a time; each chunk keeps every filter's largest response. The chunks' mean and largest
 responses go through one hidden layer to one probability.
 
-Fitted on a bounded sample: at most about TRAIN_ROWS labelled rows, drawn by a hash of the id, of at most TRAIN_BYTES
-bytes each (a longer labelled row is left out of the fit, never out of scoring). Scoring reads every byte of every text.
+Fitted on a bounded sample: at most TRAIN_ROWS labelled rows, drawn by a hash of the id, of at most TRAIN_BYTES bytes
+together: a row that would go beyond is left out of the fit (never out of scoring), so a long document is learned from
+wherever it fits. Scoring reads every byte of every text, a long one in pieces.
 
 Defined results: null and empty text are one block of zero bytes and get that block's score; a null id is in no fold
-(held_out false, and not learned from); labels with a null quality are not learned from; repeated labels of an id count
-as often as they stand; with nothing to learn from every score is 0.5; empty tables give empty results.
+(held_out false, and not learned from); labels with a null quality are not learned from; equal labels of an id, and equal
+texts of a labelled id, are learned from once; with nothing to learn from every score is 0.5; empty tables give empty
+results; a result column takes the place of an input column of the same name.
 """
 
 from __future__ import annotations
@@ -23,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm._common import bucket_of, table
+from chunkloom.llm._common import bucket_of, slices, table, tidy
 
 BLOCK, WIDTH, STRIDE, FILTERS, HIDDEN = 128, 8, 4, 16, 16
-TRAIN_ROWS, TRAIN_BYTES = 4000, 1 << 16
+TRAIN_ROWS, TRAIN_BYTES = 4000, 16 << 20
 STEPS, BATCH = 1200, 64
 THRESHOLD = 0.7
-#: Bytes that are scored at a time.
-SLICE = 2_000_000
+#: Bytes that are scored at a time; a longer text is scored in pieces of as many.
+SLICE = 1 << 20
 
 
 def blocks_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -51,14 +53,19 @@ class Network:
             "out_at": np.zeros(1, np.float32),
         }
 
-    def _chunks(self, data: np.ndarray, n: np.ndarray, where: bool) -> tuple:
-        """Each block's largest responses, then those of each chunk: a block with the next of its text, or alone if there is none."""
+    def _responses(self, data: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Every filter's response at each place of each block."""
         places = (len(data) - WIDTH) // STRIDE
         z = np.take(self.p["filters"][0], data[: places * STRIDE : STRIDE], axis=0)
         for w in range(1, WIDTH):
             z += np.take(self.p["filters"][w], data[w : w + places * STRIDE : STRIDE], axis=0)
         z = z.reshape(-1, BLOCK // STRIDE, FILTERS)
         z[np.cumsum(n) - 1, -1] = -np.inf  # would reach into the next text; the place before covers these bytes too
+        return z
+
+    def _chunks(self, data: np.ndarray, n: np.ndarray, where: bool) -> tuple:
+        """Each block's largest responses, then those of each chunk: a block with the next of its text, or alone if there is none."""
+        z = self._responses(data, n)
         top = z.max(axis=1)
         at = z.argmax(axis=1) if where else None
         last = np.zeros(len(top), bool)
@@ -77,8 +84,8 @@ class Network:
         mean = np.add.reduceat(act * weight[:, None], starts, axis=0)
         largest = np.maximum.reduceat(np.where(kept[:, None], act, -2), starts, axis=0)
         x = np.concatenate([mean, largest], axis=1).astype(np.float32)
-        h = np.tanh(x @ self.p["hidden"] + self.p["hidden_at"])
-        prob = 1 / (1 + np.exp(-np.clip(h @ self.p["out"] + self.p["out_at"], -30, 30)))
+        prob = self._prob(x)
+        h = np.tanh(x @ self.p["hidden"] + self.p["hidden_at"]) if train else None
         return (prob, x, h, act, second, kept, at, weight, starts) if train else (prob,)
 
     def gradients(self, data: np.ndarray, n: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
@@ -119,39 +126,71 @@ class Network:
                 v -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         return self
 
+    def _folded(self, text: bytes) -> float:
+        """The probability of one long text, piece by piece: a piece reads one block beyond its end, for the places that
+        reach there, and the last block of a piece goes before the next."""
+        total, step = -(-len(text) // BLOCK), SLICE // BLOCK
+        sums, largest, before = np.zeros(FILTERS), np.full(FILTERS, -2.0, np.float32), None
+        for a in range(0, total, step):
+            b = min(total, a + step)
+            data, n = blocks_of([text[a * BLOCK : (b + 1) * BLOCK]])
+            top = self._responses(data, n).max(axis=1)[: b - a]
+            top = top if before is None else np.concatenate((before, top))
+            act = np.tanh(np.maximum(top[:-1], top[1:]))
+            sums += act.sum(axis=0, dtype=np.float64)
+            largest = np.maximum(largest, act.max(axis=0, initial=-2))
+            before = top[-1:]
+        return float(self._prob(np.concatenate((sums / (total - 1), largest))[None].astype(np.float32))[0])
+
+    def _prob(self, x: np.ndarray) -> np.ndarray:
+        h = np.tanh(x @ self.p["hidden"] + self.p["hidden_at"])
+        return 1 / (1 + np.exp(-np.clip(h @ self.p["out"] + self.p["out_at"], -30, 30)))
+
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        """Probabilities; a text longer than a slice still is one document, whose blocks are all held at once (1/8 of
-        its bytes in responses), and shorter ones share slices."""
-        out, at = [], 0
-        while at < len(texts):
-            size, to = 0, at
-            while to < len(texts) and (to == at or size + len(texts[to]) <= SLICE):
-                size += len(texts[to]) + BLOCK
-                to += 1
-            out.append(self.forward(*blocks_of(texts[at:to]))[0])
-            at = to
-        return np.concatenate(out).astype(float) if out else np.zeros(0)
-
-
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, steps: int = STEPS) -> Network | None:
-    """Fits a network to at most about `rows` labelled rows outside the held-out fold."""
-    known = labels.filter((bucket_of(id_col, 4) != 2) & F.col(label_col).isNotNull()).select(id_col, F.col(label_col).cast("double").alias("_q_label"))
+        """Probabilities; short texts share slices, a text longer than a slice is folded."""
+        out = np.zeros(len(texts))
+        for a, b in slices(texts, SLICE):
+            out[a:b] = self._folded(texts[a]) if len(texts[a]) > SLICE else self.forward(*blocks_of(texts[a:b]))[0]
+        return out
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, rows: int, size: int) -> list[tuple[str, float]]:
+    """(text, label) of at most `rows` different labelled rows outside the held-out fold, of at most `size` bytes together. Which ones is
+    decided on hashes and lengths, so that no more texts than these are gathered, however often an id or a text stands."""
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).filter((bucket_of("id", 4) != 2) & F.col("label").isNotNull())
     n = known.count()
     if not n:
+        return []
+    draw = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 30))
+    drawn = known.filter(draw < min(1.0, 1.2 * rows / n) * (1 << 30)).distinct().orderBy(draw, "id", "label").limit(rows)
+    # at most `rows` labels, whatever the size of the table
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null").join(F.broadcast(drawn), "id")
+    own = own.withColumn("key", F.xxhash64(F.lit(5), "id", "label", "text"))
+    wanted, used = [], 0
+    for r in own.select("key", F.octet_length("text").alias("bytes")).distinct().orderBy("key").limit(rows).collect():
+        if used + r["bytes"] <= size:
+            wanted.append((r["key"],))
+            used += r["bytes"]
+    if not wanted:
+        return []
+    keys = docs.sparkSession.createDataFrame(wanted, "key long")
+    sample = own.join(F.broadcast(keys), "key", "left_semi").select("key", "text", "label").distinct().collect()
+    return [(r["text"], r["label"]) for r in sorted(sample)]
+
+
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, steps: int = STEPS, size: int = TRAIN_BYTES) -> Network | None:
+    """Fits a network to a bounded sample of labelled rows outside the held-out fold."""
+    sample = training_rows(docs, labels, label_col, id_col, text_col, rows, size)
+    if len({y for _, y in sample}) < 2:
         return None
-    drawn = known.filter(F.pmod(F.xxhash64(F.lit(3), id_col), F.lit(1 << 30)) < min(1.0, rows / n) * (1 << 30))
-    # the drawn labels are about `rows` at most, whatever the size of the table
-    sample = docs.select(id_col, F.col(text_col).cast("string").alias("_q_text")).join(F.broadcast(drawn), id_col).filter(F.octet_length("_q_text") <= TRAIN_BYTES).collect()
-    sample.sort(key=lambda r: (r[0], r["_q_text"], r["_q_label"]))
-    if len({r["_q_label"] for r in sample}) < 2:
-        return None
-    return Network().fit([r["_q_text"].encode("utf-8", "surrogatepass") for r in sample], np.array([r["_q_label"] for r in sample], np.float32), steps)
+    return Network().fit([t.encode("utf-8", "surrogatepass") for t, _ in sample], np.array([y for _, y in sample], np.float32), steps)
 
 
 def score(docs: DataFrame, network: Network | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep and score for every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
-    schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep) + ", score double"
+    keep = tuple(k for k in keep if k != "score")
+    schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), "score double"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         net = shared.value
@@ -159,7 +198,7 @@ def score(docs: DataFrame, network: Network | None, text_col: str = "text", keep
             texts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in pdf[text_col].tolist()]
             yield pdf[list(keep)].assign(score=net.scores(texts) if net else 0.5)
 
-    return docs.select(*dict.fromkeys((*keep, text_col))).mapInPandas(run, schema)
+    return docs.select(*dict.fromkeys((*keep, text_col))).mapInPandas(tidy(run), schema)
 
 
 def accepted(docs: DataFrame, network: Network | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -173,7 +212,7 @@ def accepted(docs: DataFrame, network: Network | None, text_col: str = "text", t
             texts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             yield batch.filter(pa.array(shared.value.scores(texts) >= threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
