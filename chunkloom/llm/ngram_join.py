@@ -15,13 +15,16 @@ No pair is ever written: a block gives each class its number of links and its ro
 Defined results: null text, empty text and white space have no shingle, link with nothing and are classes of their own;
 a text of one to four words is one shingle; repeated rows are copies like others (each row gets a row); copies count as
 links; a text that only rows without an id have links like others, and those rows take the smallest id of their class;
-an empty table gives an empty result. Columns besides id and text are ignored.
+an empty table gives an empty result; columns besides id and text are ignored, whatever their names. A text longer than
+SLICE characters is read in pieces that end with white space (a word of more than SLICE characters is read in pieces too,
+each lower-cased by itself).
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +32,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm._common import cut, table
+from chunkloom.llm._common import cut, free_names, slices, table, tidy
 from chunkloom.llm.graphs import connected_components
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 192
 SMALL, BLOCK, PACK = 32, 256, 2000
 #: Up to this many candidate classes (16 MB of ids), they are broadcast to the scan that fetches their texts; beyond, they are shuffled.
 BROADCAST_ROWS = 500_000
-SLICE = 1_000_000
+#: Characters of text that are hashed at a time.
+SLICE = 500_000
 _P, _Q = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _MASK = 0xFFFFFFFFFFFFFFFF
 
@@ -61,12 +65,13 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text. Words are hashed together as differences of prefix sums."""
+_BLANK = re.compile(r"[\x20\x09-\x0D]")
+
+
+def _word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of all texts, bounds of each text's words); words are hashed together as differences of prefix sums."""
     raw = [t.lower().encode("utf-8", "surrogatepass") + b" " for t in texts]
     data = np.frombuffer(b" " + b"".join(raw), np.uint8)
-    if len(data) < 2:
-        return []
     space = _IS_SPACE[data]
     starts, ends = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
     inverse = pow(_P, -1, 1 << 64)
@@ -75,35 +80,54 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
         up[0] = down[0] = 1
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(np.cumprod(up) * (data.astype(np.uint64) + np.uint64(1)))))
         word = _mix((sums[ends] - sums[starts]) * np.cumprod(down)[starts])
-        gram = np.zeros(max(0, len(word) - words + 1), np.uint64)
+    return word, np.searchsorted(starts, np.cumsum([1, *map(len, raw)]))
+
+
+def _gram_hashes(word: np.ndarray, words: int) -> np.ndarray:
+    gram = np.zeros(max(0, len(word) - words + 1), np.uint64)
+    with np.errstate(over="ignore"):
         for k in range(words):
             gram = gram * np.uint64(_Q) + word[k : k + len(gram)]
-        gram = _mix(gram)
-    bounds = np.searchsorted(starts, np.cumsum([1, *map(len, raw)]))
-    out = []
-    for i in range(len(texts)):
-        a, b = int(bounds[i]), int(bounds[i + 1])
-        if b - a >= words:
-            out.append(np.unique(gram[a : b - words + 1]))
-        elif b > a:
-            h = b - a
-            for w in word[a:b].tolist():
-                h = (h * _Q + w) & _MASK
-            out.append(_mix(np.array([h], np.uint64)))
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+    return _mix(gram)
+
+
+def _few_words(word: np.ndarray) -> np.ndarray:
+    """The one shingle of a text with fewer words than a shingle has."""
+    h = len(word)
+    for w in word.tolist():
+        h = (h * _Q + w) & _MASK
+    return _mix(np.array([h], np.uint64)) if len(word) else np.zeros(0, np.uint64)
+
+
+def _long_set(text: str, words: int) -> np.ndarray:
+    """The shingles of one long text, piece by piece: the last words of a piece go before the next."""
+    out, before, at, held = [], np.zeros(0, np.uint64), 0, 0
+    while at < len(text):
+        end = at + SLICE
+        m = _BLANK.search(text, end, end + SLICE) if end < len(text) else None
+        end = m.end() if m else end
+        word = np.concatenate((before, _word_hashes([text[at:end]])[0]))
+        out.append(np.unique(_gram_hashes(word, words)))
+        held += len(out[-1])
+        before = word[max(0, len(word) - words + 1) :]
+        at = end
+        if len(out) > 1 and held > 1 << 21:
+            out = [np.unique(np.concatenate(out))]
+            held = 0
+    grams = np.unique(np.concatenate(out))
+    return grams if len(grams) else _few_words(before)
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    at = 0
-    while at < len(texts):
-        size, to = 0, at
-        while to < len(texts) and (to == at or size + len(texts[to]) <= SLICE):
-            size += len(texts[to])
-            to += 1
-        yield at, to
-        at = to
+def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    if len(texts) == 1 and len(texts[0]) > SLICE:
+        return [_long_set(texts[0], words)]
+    word, bounds = _word_hashes(texts)
+    gram = _gram_hashes(word, words)
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        out.append(np.unique(gram[a : b - words + 1]) if b - a >= words else _few_words(word[a:b]))
+    return out
 
 
 def set_name(s: np.ndarray) -> bytes | None:
@@ -147,12 +171,12 @@ def signed(docs: DataFrame, id_col: str, text_col: str, minhash: MinHash, words:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = [t if isinstance(t, str) else "" for t in pdf[text_col].tolist()]
-            for a, b in _slices(texts):
+            for a, b in slices(texts, SLICE):
                 sets = shingle_sets(texts[a:b], words)
                 sigs = np.stack([minhash.signature(s) for s in sets])
                 yield pd.DataFrame({"id": pdf[id_col].array[a:b], "set_id": [set_name(s) for s in sets], "bands": list(minhash.keys(sigs)), "sig": [x.tobytes() for x in minhash.short(sigs)]})
 
-    return docs.select(id_col, text_col).mapInPandas(run, f"id {docs.schema[id_col].dataType.simpleString()}, set_id binary, bands array<long>, sig binary")
+    return docs.select(id_col, text_col).mapInPandas(tidy(run), f"id {docs.schema[id_col].dataType.simpleString()}, set_id binary, bands array<long>, sig binary")
 
 
 def _likely(threshold: float, hashes: int) -> float:
@@ -179,7 +203,7 @@ def candidate_edges(reps: DataFrame, minhash: MinHash, threshold: float) -> Data
                 pdf = pdf[(x == y).mean(axis=1) >= least]
             yield pdf[["a", "b"]]
 
-    return both.mapInPandas(likely, "a binary, b binary").unionByName(stars)
+    return both.mapInPandas(tidy(likely), "a binary, b binary").unionByName(stars)
 
 
 def block_links(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, threshold: float) -> np.ndarray:
@@ -256,24 +280,26 @@ def _groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     def with_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = [t if isinstance(t, str) else "" for t in pdf["text"].tolist()]
-            for a, b in _slices(texts):
+            for a, b in slices(texts, SLICE):
                 sets = shingle_sets(texts[a:b], words)
                 part = pdf.iloc[a:b].drop(columns=["id", "text"]).assign(shingles=[s.tobytes() for s in sets])
                 yield part[[set_name(s) == v for s, v in zip(sets, part["v"], strict=True)]]  # an id may stand with several texts
 
-    sets = wanted.mapInPandas(with_sets, "v binary, comp binary, blocks long, n long, shingles binary")
+    sets = wanted.mapInPandas(tidy(with_sets), "v binary, comp binary, blocks long, n long, shingles binary")
     if n_nameless:  # texts that only rows without an id have are found by their sets
 
         def all_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 texts = [t if isinstance(t, str) else "" for t in pdf["text"].tolist()]
-                for a, b in _slices(texts):
+                for a, b in slices(texts, SLICE):
                     of = [s for s in shingle_sets(texts[a:b], words) if len(s)]
                     yield pd.DataFrame({"v": [set_name(s) for s in of], "shingles": [s.tobytes() for s in of]})
 
         nameless = verts.filter("id is null").drop("id")
-        found = texts.filter("id is null").select("text").mapInPandas(all_sets, "v binary, shingles binary").dropDuplicates(["v"])
+        found = texts.filter("id is null").select("text").mapInPandas(tidy(all_sets), "v binary, shingles binary").dropDuplicates(["v"])
         sets = sets.unionByName(found.join(F.broadcast(nameless) if n_nameless <= BROADCAST_ROWS else nameless, "v").select(*sets.columns))
+    if not rows.filter("id is not null").groupBy("id").count().filter("count > 1").isEmpty():
+        sets = sets.dropDuplicates(["v"])  # an id that stands often gives its set once for each partition, not for each row
     packs = max(1, math.ceil(n_verts / PACK))
     dealt = sets.withColumn("block", F.pmod(F.xxhash64("v"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
@@ -299,26 +325,27 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """docs without the rows that are near-copies of one with a smaller id; one row of each group stays. Where ids repeat,
     rows are told apart by their sets too: of near-copies with one id a row of the first set stays, with its first text;
     of rows without a shingle, those that repeat both id and text leave one."""
+    own_id, own_set, kept_set, least = free_names(docs.columns, "j_id", "j_set", "j_kept", "j_text")
     groups = cut(_groups(docs, id_col, text_col))
     kept = groups.filter("kept")
     if groups.groupBy(id_col).count().filter("count > 1").isEmpty():
-        ids = kept.select(F.col(id_col).alias("_j_id"))
+        ids = kept.select(F.col(id_col).alias(own_id))
         small = ids.count() <= BROADCAST_ROWS
-        return docs.join(F.broadcast(ids) if small else ids, docs[id_col].eqNullSafe(F.col("_j_id")), "left_semi")
+        return docs.join(F.broadcast(ids) if small else ids, docs[id_col].eqNullSafe(F.col(own_id)), "left_semi")
 
     @F.pandas_udf("binary")
     def names(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in batches:
             texts = [t if isinstance(t, str) else "" for t in series.tolist()]
-            yield pd.Series([set_name(s) for a, b in _slices(texts) for s in shingle_sets(texts[a:b])], dtype=object)
+            yield pd.Series([set_name(s) for a, b in slices(texts, SLICE) for s in shingle_sets(texts[a:b])], dtype=object)
 
-    named = docs.withColumn("_j_set", names(F.col(text_col)))
+    named = docs.withColumn(own_set, names(F.col(text_col)))
     first = kept.filter("set_id is not null").groupBy("component").agg(F.min("set_id").alias("set_id"), F.first(id_col).alias("id"))
-    rows = cut(first.select("id", "set_id").unionByName(kept.filter("set_id is null").select(F.col(id_col).alias("id"), "set_id").distinct()).toDF("_j_id", "_j_kept"))
+    rows = cut(first.select("id", "set_id").unionByName(kept.filter("set_id is null").select(F.col(id_col).alias("id"), "set_id").distinct()).toDF(own_id, kept_set))
     small = rows.count() <= BROADCAST_ROWS
-    out = cut(named.join(F.broadcast(rows) if small else rows, named[id_col].eqNullSafe(F.col("_j_id")) & F.col("_j_set").eqNullSafe(F.col("_j_kept")), "left_semi"))
-    texts = out.filter("_j_set is not null").groupBy(F.col("_j_set").alias("_j_kept")).agg(F.min(text_col).alias("_j_text"))
-    out = out.join(texts, F.col("_j_set") == F.col("_j_kept"), "left").filter(F.col("_j_set").isNull() | (F.col(text_col) == F.col("_j_text")))
+    out = cut(named.join(F.broadcast(rows) if small else rows, named[id_col].eqNullSafe(F.col(own_id)) & F.col(own_set).eqNullSafe(F.col(kept_set)), "left_semi"))
+    texts = out.filter(F.col(own_set).isNotNull()).groupBy(F.col(own_set).alias(kept_set)).agg(F.min(text_col).alias(least))
+    out = out.join(texts, F.col(own_set) == F.col(kept_set), "left").filter(F.col(own_set).isNull() | (F.col(text_col) == F.col(least)))
     return out.select(*docs.columns).dropDuplicates([id_col, text_col])
 
 
