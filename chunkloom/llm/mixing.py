@@ -2,13 +2,16 @@
 
 Every document of a source starts with the same fractional number of copies, target / source size. Its whole part is
 taken; the fractional parts meet in pairs, and each meeting moves mass (words, so that copies x size is conserved) at
-random from one to the other until one of them is integral. The expected copies of a document never change, and the
-words of a source change only when the very last fraction of the source is rounded, which others then make up for. Meetings run in chunks of a source
-and then over the chunks' residuals, in a tree whose nodes hold at most FAN_IN residuals, so no task sees a whole source.
+random from one to the other until one of them is integral. Meetings change neither the expected copies of a document nor
+the words of a source. They run in chunks of a source and then over the chunks' residuals, in a tree whose nodes hold at
+most FAN_IN residuals, so no task sees a whole source. One fraction of a source is left at the root, which is rounded at
+random; other residuals of that node, those of small documents among them, are then turned over in a fixed order to make up
+for it, so for these few documents the expected copies hold only nearly.
 
 Defined results: null text and empty text have size 0 and are taken 0 words; a null source is a source of its own (last
 in order); rows that repeat an id, source, size and text hash are one unit with that many rows, and each row gets the same copies;
-an empty table gives an empty result; an all-empty corpus has targets 0. Input columns that start with "_m_" are reserved.
+an empty table gives an empty result; an all-empty corpus has targets 0; very long texts are counted whole; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chunkloom.llm._common import cut, table
+from chunkloom.llm._common import cut, free_names, table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -136,10 +139,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
     """docs, each row as often as the mix takes it (dropped where that is never); rows without words are kept once."""
-    copies = mix(docs, id_col, text_col, source_col, seed).select("_m_id", "_m_source", "_m_hash", F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int").alias("_m_copies")).filter("_m_copies > 0")
-    keyed = docs.withColumn("_m_key", F.xxhash64(text_col))
-    on = keyed[id_col].eqNullSafe(copies["_m_id"]) & keyed[source_col].eqNullSafe(copies["_m_source"]) & (keyed["_m_key"] == copies["_m_hash"])
-    return keyed.join(copies, on).withColumn("_m_copy", F.explode(F.sequence(F.lit(1), "_m_copies"))).select(*docs.columns)
+    own_id, source, hashed, key, copies, copy = free_names(docs.columns, "m_id", "m_source", "m_hash", "m_key", "m_copies", "m_copy")
+    taken = mix(docs, id_col, text_col, source_col, seed).select("_m_id", "_m_source", "_m_hash", F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int")).toDF(own_id, source, hashed, copies)
+    keyed = docs.withColumn(key, F.xxhash64(text_col))
+    on = keyed[id_col].eqNullSafe(F.col(own_id)) & keyed[source_col].eqNullSafe(F.col(source)) & (F.col(key) == F.col(hashed))
+    return keyed.join(taken.filter(F.col(copies) > 0), on).withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
