@@ -5,8 +5,10 @@ distinct owners over the whole corpus. A value that many owners hold is a copied
 looks like a live credential.
 
 Defined results: null text counts as empty (no spans); empty text has no spans; repeated rows each get their own row;
-a null owner or repository counts as one owner or repository of its own; an empty table gives an empty result; columns of
-the input whose names start with "_s_" are reserved, all others pass through.
+a null owner or repository counts as one owner or repository of its own; an empty table gives an empty result; very long
+texts are searched whole; other columns pass through, whatever their names.
+
+Texts are searched once: rows with their spans are written as a table, from which values are counted, judged and joined back.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm._common import cut, table
+from chunkloom.llm._common import cut, free_names, table
 
 #: The base patterns and least lengths of the contract. (kind, pattern, group that is the secret, least length)
 BASE = (
@@ -32,6 +34,7 @@ EXAMPLE_OWNERS = 5
 #: Positions are folded in blocks of this many matches, so that a text with very many matches costs no quadratic copying.
 _BLOCK = 256
 _SPAN = "struct<start:int,end:int,kind:int,value:string>"
+_JUDGED = "array<struct<start:int,end:int,kind:int,value:string,n_owners:bigint,n_repos:bigint,live:boolean>>"
 
 
 def may_hold(text: Column) -> Column:
@@ -85,21 +88,20 @@ def _spans_of(text: Column, kind: int) -> Column:
     return F.when(text.rlike(_MAY[kind]), F.filter(spans, lambda x: F.length(x["value"]) >= least)).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
-def candidates(docs: DataFrame, text_col: str) -> DataFrame:
-    """The rows of docs that may hold spans, with _s_id and _s_spans (all kinds, by start, then kind), as a table of its own."""
-    text = F.col(text_col)
-    found = docs.filter(may_hold(text)).withColumn("_s_id", F.monotonically_increasing_id())
-    return cut(found.withColumn("_s_spans", F.array_sort(F.concat(*(_spans_of(text, k) for k in range(len(KINDS)))), lambda a, b: _order(a, b))))
+def _all_spans(text: Column) -> Column:
+    """Spans of all kinds, by start, then kind."""
+    found = F.array_sort(F.concat(*(_spans_of(text, k) for k in range(len(KINDS)))), lambda a, b: _order(a, b))
+    return F.when(may_hold(text), found).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def _order(a: Column, b: Column) -> Column:
     return F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["kind"] < b["kind"], -1).when(a["kind"] > b["kind"], 1).otherwise(0)
 
 
-def ownership(cands: DataFrame, owner_col: str, repo_col: str) -> DataFrame:
-    """hash, n_owners, n_repos over the corpus. Distinct by steps, each with a partial aggregation, so that a value
-    that a third of all rows hold is summed before it is shuffled."""
-    spans = cands.select(F.col(owner_col).alias("owner"), F.col(repo_col).alias("repo"), F.explode("_s_spans").alias("s"))
+def ownership(found: DataFrame) -> DataFrame:
+    """hash, n_owners, n_repos over the corpus, from rows of owner, repo and spans. Distinct by steps, each with a partial
+    aggregation, so that a value that a third of all rows hold is summed before it is shuffled."""
+    spans = found.select("owner", "repo", F.explode("spans").alias("s"))
     return (
         spans.select(F.sha2("s.value", 256).alias("hash"), "owner", "repo").distinct()
         .groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"))
@@ -107,38 +109,61 @@ def ownership(cands: DataFrame, owner_col: str, repo_col: str) -> DataFrame:
     )
 
 
-def judged(cands: DataFrame, owner_col: str, repo_col: str, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """_s_id and _s_judged: the spans with n_owners, n_repos and live (owner-specific), by start, then kind."""
-    freq = ownership(cands, owner_col, repo_col)
-    spans = cands.select("_s_id", F.explode("_s_spans").alias("s")).withColumn("hash", F.sha2("s.value", 256))
+def judged(found: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+    """row and its spans with n_owners, n_repos and live (owner-specific), by start, then kind."""
+    spans = found.select("row", F.explode("spans").alias("s")).withColumn("hash", F.sha2("s.value", 256))
     one = F.struct("s.start", "s.end", "s.kind", "s.value", "n_owners", "n_repos", (F.col("n_owners") < example_owners).alias("live"))
-    return spans.join(freq, "hash").groupBy("_s_id").agg(F.array_sort(F.collect_list(one)).alias("_s_judged"))
+    return spans.join(ownership(found), "hash").groupBy("row").agg(F.array_sort(F.collect_list(one)).alias("judged"))
+
+
+def scan(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", example_owners: int = EXAMPLE_OWNERS, out_col: str = "secrets", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of docs (all, unless given) with out_col: array of (start, end, kind, value, n_owners, n_repos,
+    live), sorted by start, then kind."""
+    keep = [c for c in (keep or docs.columns) if c != out_col]
+    row, spans = free_names([*docs.columns, out_col], "s_row", "s_spans")
+    wanted = list(dict.fromkeys((*keep, owner_col, repo_col)))
+    searched = cut(docs.select(*wanted, F.monotonically_increasing_id().alias(row), _all_spans(F.col(text_col)).alias(spans)))
+    some = searched.filter(F.size(spans) > 0)
+    verdicts = judged(some.select(F.col(row).alias("row"), F.col(owner_col).alias("owner"), F.col(repo_col).alias("repo"), F.col(spans).alias("spans")), example_owners).toDF(row, spans)
+    none = F.array().cast(_JUDGED)
+    held = some.drop(spans).join(verdicts, row).select(*keep, F.col(spans).cast(_JUDGED).alias(out_col))
+    return held.unionByName(searched.filter(F.size(spans) == 0).select(*keep, none.alias(out_col)))
+
+
+def _redacted(text: Column, live: Column, mark: str) -> Column:
+    """text with the sorted spans of `live` replaced by mark, where they overlap the first of them. The text is taken apart
+    in blocks of spans, so that no piece is looked up from the text's start and no long result is copied for each span."""
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(live) / _BLOCK).cast("int") - 1), lambda b: F.slice(live, b * _BLOCK + 1, F.lit(_BLOCK)))
+
+    def within(part: Column, base: Column, at: Column, block: Column) -> Column:
+        return F.aggregate(
+            block,
+            F.struct(at.alias("at"), F.lit("").alias("out")),
+            lambda acc, s: F.struct(
+                F.greatest(acc["at"], s["end"]).alias("at"),
+                F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(part, acc["at"] - base + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
+            ),
+        )
 
+    def step(acc: Column, block: Column) -> Column:
+        until = F.greatest(acc["at"], F.array_max(F.transform(block, lambda s: s["end"])))
+        part = F.substring(acc["rest"], F.lit(1), until - acc["at"])
+        return F.struct(
+            until.alias("at"),
+            F.substring(acc["rest"], until - acc["at"] + 1, F.length(acc["rest"])).alias("rest"),
+            F.concat(acc["out"], F.array(within(part, acc["at"], acc["at"], block)["out"])).alias("out"),
+        )
 
-def scan(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", example_owners: int = EXAMPLE_OWNERS, out_col: str = "secrets") -> DataFrame:
-    """docs with out_col: array of (start, end, kind, value, n_owners, n_repos, live), sorted by start, then kind."""
-    cands = candidates(docs, text_col)
-    kind = "array<struct<start:int,end:int,kind:int,value:string,n_owners:bigint,n_repos:bigint,live:boolean>>"
-    none = F.array().cast(kind)
-    held = cands.join(judged(cands, owner_col, repo_col, example_owners), "_s_id", "left").withColumn(out_col, F.coalesce(F.col("_s_judged").cast(kind), none)).drop("_s_id", "_s_spans", "_s_judged")
-    return held.unionByName(docs.filter(~may_hold(F.col(text_col))).withColumn(out_col, none))
+    start = F.struct(F.lit(0).alias("at"), text.alias("rest"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(blocks, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), acc["rest"]))
 
 
 def redact(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", mark: str = "[SECRET]", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """docs with the value of every owner-specific secret replaced by mark; copied examples and all other text stay."""
-    text = F.col(text_col)
-    live = F.transform(F.filter("_s_found", lambda s: s["live"]), lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end")))
-    folded = F.aggregate(
-        F.array_sort(live),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    found = scan(docs, text_col, owner_col, repo_col, example_owners, "_s_found")
-    return found.withColumn(text_col, F.when(F.exists("_s_found", lambda s: s["live"]), folded).otherwise(text)).drop("_s_found")
+    (found,) = free_names(docs.columns, "s_found")
+    live = F.array_sort(F.transform(F.filter(found, lambda s: s["live"]), lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end"))))
+    out = scan(docs, text_col, owner_col, repo_col, example_owners, found)
+    return out.withColumn(text_col, F.when(F.exists(found, lambda s: s["live"]), _redacted(F.col(text_col), live, mark)).otherwise(F.col(text_col))).select(*docs.columns)
 
 
 def _digest(spans: Column) -> Column:
@@ -149,7 +174,7 @@ def _digest(spans: Column) -> Column:
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole text of documents; a document is its own repository and its source the owner. The base spans
     stay whatever their frequency; of the added kind, those that look live do."""
-    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text")
+    found = scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
     base = F.filter("secrets", lambda s: s["kind"] < len(BASE))
     kept = F.filter("secrets", lambda s: (s["kind"] < len(BASE)) | s["live"])
     return found.select(
