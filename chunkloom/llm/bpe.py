@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkloom.llm._common import table
+from chunkloom.llm._common import slices, table, tidy
 
 END = "</w>"
 #: The characters that the library's patterns take as white space.
@@ -394,16 +394,11 @@ class Encoder:
                     segments.append(part[at:end] if at or end < len(part) else part)
                     of.append(i)
                     at = max(end, 1)
-        counts, flat, at = [], [], 0
-        while at < len(segments):
-            size, to = 0, at
-            while to < len(segments) and (to == at or size + len(segments[to]) <= SLICE):
-                size += len(segments[to])
-                to += 1
-            c, f = self._flat(segments[at:to])
+        counts, flat = [], []
+        for a, b in slices(segments, SLICE):
+            c, f = self._flat(segments[a:b])
             counts.append(c)
             flat.append(f)
-            at = to
         counts, ids = np.concatenate(counts) if counts else np.zeros(0, np.int64), np.concatenate(flat) if flat else np.zeros(0, np.int32)
         n = np.bincount(of, counts, len(texts)).astype(np.int64) if of else np.zeros(len(texts), np.int64)
         if specials:
@@ -412,17 +407,6 @@ class Encoder:
             np.add.at(n, [i for _, _, i in specials], 1)
         return n, ids
 
-    def slices(self, texts: list[str]) -> Iterator[tuple[int, int]]:
-        """Ranges of texts that are encoded together: some SLICE characters, or one text that has more."""
-        at = 0
-        while at < len(texts):
-            size, to = 0, at
-            while to < len(texts) and (to == at or size + len(texts[to]) <= SLICE):
-                size += len(texts[to])
-                to += 1
-            yield at, to
-            at = to
-
     def emitted(self, counts: np.ndarray, ids: np.ndarray, labels: pa.Array, block: int = 1 << 20) -> Iterator[Iterator[memoryview]]:
         """For each text the bytes of its ids' labels, joined by spaces, in blocks of tokens."""
         ends = np.cumsum(counts)
@@ -464,7 +448,7 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         automaton.encoder = encoder  # lives as long as this broadcast does in this worker
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch.column(1).to_pylist()]
-            for a, b in encoder.slices(texts):
+            for a, b in slices(texts, SLICE):
                 counts, ids = encoder.encode(texts[a:b])
                 columns = [batch.column(0).slice(a, b - a), pa.array(counts)]
                 columns += [pa.array([_sha256(x) for x in encoder.emitted(counts, ids, labels)]) for labels in (automaton.decimals, automaton.labels)]
@@ -476,7 +460,7 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", *keep])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {k} {'array<int>' if k == 'ids' else 'string'}" for k in keep))
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {k} {'array<int>' if k == 'ids' else 'string'}" for k in keep))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm._common import cut, table
+from chunkloom.llm._common import cut, free_names, table, tidy
 
 #: HTML's raw text, void and inline elements, and elements that end an open one of their kind.
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -373,18 +373,20 @@ BROADCAST_HOSTS = 200_000
 
 
 def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    winners = cut(host_paths(pages, url_col, html_col).select(F.col("host").alias("_h_host"), F.col("path").alias("_h_path")))
+    keep = tuple(k for k in keep if k not in ("text", "path"))
+    source, host, path, of = free_names(keep, "h_html", "h_host", "h_path", "h_of")
+    winners = cut(host_paths(pages, url_col, html_col).select(F.col("host").alias(host), F.col("path").alias(path)))
     small = winners.count() <= BROADCAST_HOSTS
-    own = pages.select(*keep, F.col(html_col).alias("_h_html"), host_of(F.col(url_col)).alias("_h_of"))
-    joined = own.join(F.broadcast(winners) if small else winners, F.col("_h_of") == F.col("_h_host"), "left").select(*keep, "_h_html", "_h_path")
-    schema = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keep) + ", text string, path string"
+    own = pages.select(*keep, F.col(html_col).alias(source), host_of(F.col(url_col)).alias(of))
+    joined = own.join(F.broadcast(winners) if small else winners, F.col(of) == F.col(host), "left").select(*keep, source, path)
+    schema = ", ".join([*(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keep), "text string", "path string"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [extract(h, p) for h, p in zip(pdf["_h_html"].tolist(), pdf["_h_path"].tolist(), strict=True)]
+            found = [extract(h, p) for h, p in zip(pdf[source].tolist(), pdf[path].tolist(), strict=True)]
             yield pdf[list(keep)].assign(text=[t for t, _ in found], path=[p for _, p in found])
 
-    return joined.mapInPandas(run, schema)
+    return joined.mapInPandas(tidy(run), schema)
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
