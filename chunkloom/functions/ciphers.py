@@ -36,9 +36,14 @@ def key_seed(fp: Column, state: Column, secret: str) -> Column:
     return F.sha2(F.concat_ws("|", fp, state.cast("string"), F.lit(secret)), 256)
 
 
-def encrypt(content: Column, key: Column, iv: Column | None = None) -> Column:
-    """With no iv, a fresh one for each row; with one, the result depends on its inputs only (equal inputs stay equal)."""
-    args = (content, F.unhex(key), F.lit("GCM"), F.lit("DEFAULT"))
+def _raw(key: Column, bits: int) -> Column:
+    return F.unhex(F.substring(key, 1, bits // 4))
+
+
+def encrypt(content: Column, key: Column, iv: Column | None = None, mode: str = "GCM", bits: int = 256) -> Column:
+    """With no iv, a fresh one for each row; with one, the result depends on its inputs only (equal inputs stay equal). Modes
+    are Spark's: GCM, or CBC, which isn't authenticated and whose IV has 16 bytes. bits: 128, 192 or 256, of the key's first."""
+    args = (content, _raw(key, bits), F.lit(mode), F.lit("DEFAULT"))
     return F.aes_encrypt(*args) if iv is None else F.aes_encrypt(*args, iv)
 
 
@@ -47,8 +52,8 @@ def deterministic_encrypt(content: Column, key: Column) -> Column:
     return encrypt(content, key, F.unhex(F.lit("00" * 12)))
 
 
-def decrypt(cipher: Column, key: Column) -> Column:
-    return F.aes_decrypt(cipher, F.unhex(key), F.lit("GCM"))
+def decrypt(cipher: Column, key: Column, mode: str = "GCM", bits: int = 256) -> Column:
+    return F.aes_decrypt(cipher, _raw(key, bits), F.lit(mode))
 
 
 def index_key(fp: Column, secret: str) -> Column:

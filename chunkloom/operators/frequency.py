@@ -36,6 +36,9 @@ class TopSet:
     def _put(self, fp: str, freq: int, came: int) -> None:
         self.held[fp] = (freq, came)
         heapq.heappush(self.heap, (freq, came, fp))
+        if len(self.heap) > 2 * len(self.held) + 64:  # entries that later frequencies have replaced
+            self.heap = [(*v, f) for f, v in self.held.items()]
+            heapq.heapify(self.heap)
 
     def offer(self, fp: str, freq: int) -> None:
         if fp in self.held:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkloom.functions.digests import byte_sum, is_hook, list_digest
 from chunkloom.operators.ordered import ordered_fold
+from chunkloom.sources.store import materialise
 
 
 @dataclass(frozen=True)
@@ -24,6 +26,13 @@ class SegmentRule:
     pattern: int = 1
 
 
+def _digest_values(fps: pd.Series) -> np.ndarray:
+    """Sums of the digests' bytes (as functions.digests.byte_sum), for a batch at a time."""
+    if fps.str.len().nunique() == 1:
+        return np.frombuffer(bytes.fromhex("".join(fps)), np.uint8).reshape(len(fps), -1).sum(axis=1, dtype=np.int32)
+    return np.array([sum(bytes.fromhex(f)) for f in fps], np.int32)
+
+
 def content_segments(chunks: DataFrame, rule: SegmentRule = SegmentRule()) -> DataFrame:
     """chunks (file_id, seq, fp, size) with value and segment, numbered from 0 in each file."""
 
@@ -32,18 +41,18 @@ def content_segments(chunks: DataFrame, rule: SegmentRule = SegmentRule()) -> Da
 
     def step(state: list[int], pdf: pd.DataFrame) -> pd.DataFrame:
         segment, count, total = state
-        out = []
-        for size, value in zip(pdf["size"].tolist(), pdf["value"].tolist(), strict=True):
+        out, values = [], _digest_values(pdf["fp"])
+        for size, value in zip(pdf["size"].tolist(), values.tolist(), strict=True):
             ends = count + 1 > rule.chunks or total + size > rule.most or total + size >= rule.least and value % rule.divisor == rule.pattern
             if ends and count:
                 segment, count, total = segment + 1, 0, 0
             count, total = count + 1, total + size
             out.append(segment)
         state[:] = segment, count, total
-        return pdf.assign(segment=out)
+        return pdf.assign(value=values, segment=out)
 
     kind = chunks.schema["file_id"].dataType.simpleString()
-    x = chunks.select("file_id", F.col("seq").cast("long").alias("seq"), "fp", F.col("size").cast("int").alias("size"), byte_sum(F.col("fp")).alias("value"))
+    x = chunks.select("file_id", F.col("seq").cast("long").alias("seq"), "fp", F.col("size").cast("int").alias("size"))
     return ordered_fold(x, ["file_id"], ["seq"], start, step, f"file_id {kind}, seq long, fp string, size int, value int, segment long")
 
 
@@ -66,8 +75,9 @@ def similarity_index(segmented: DataFrame, order: tuple[str, ...] = ("file_id",
 
     Within a bin every lookup and insert touches that bin only, so a chunk is unique if it is the first of (bin, fp), and a
     segment is `unique` if it is its bin's first, `duplicate` if its hash is the first one's, else `different`. Aggregations
-    on (bin) and (bin, fp) say so, with no replay.
+    on (bin) and (bin, fp) say so, with no replay. The segments, which both read, are written once.
     """
+    segmented = materialise(segmented)
     s = summaries(segmented)
     at = F.struct(*order)
     firsts = s.groupBy("min_fp").agg(F.min(at).alias("first"), F.min_by("seg_hash", at).alias("first_hash"))

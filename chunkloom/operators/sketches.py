@@ -6,13 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkloom.functions.digests import SKETCH_DEPTH, SKETCH_WIDTH, sketch_position
-from chunkloom.functions.murmur import murmur32
+from chunkloom.functions.murmur import murmur32, murmur128
 from chunkloom.operators.ordered import running_count
 
 
 def positions(fp: Column, width: int = SKETCH_WIDTH, depth: int = SKETCH_DEPTH, scheme: str = "digest") -> Column:
-    """Array of (row, pos). digest: words of the SHA-256 fingerprint; murmur: MurmurHash3 of the bytes with seeds 0, 1, ..."""
-    pos = [sketch_position(fp, r, width) if scheme == "digest" else (murmur32(F.unhex(fp), r) % width).cast("int") for r in range(depth)]
+    """Array of (row, pos). digest: words of the SHA-256 fingerprint; murmur: MurmurHash3 of the bytes with seeds 0,
+    1, ...; murmur128: words of one 128-bit MurmurHash3 (its bytes in the order of its 64-bit halves, little-endian)."""
+    if scheme == "murmur128":
+        halves = murmur128(F.unhex(fp))
+        pos = [(F.conv(F.substring(halves, at, 8), 16, 10).cast("long") % width).cast("int") for at in (9, 1, 25, 17)[:depth]]
+    else:
+        pos = [sketch_position(fp, r, width) if scheme == "digest" else (murmur32(F.unhex(fp), r) % width).cast("int") for r in range(depth)]
     return F.array(*(F.struct(F.lit(r).alias("row"), p.alias("pos")) for r, p in enumerate(pos)))
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from urllib.parse import quote
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,9 +53,8 @@ def recipe_heads(chunks: DataFrame) -> DataFrame:
 def containers(packed: DataFrame, overhead: int = IV) -> DataFrame:
     """container, size, body: stored chunks in the order of their offsets, each after room for its IV. A container is
     bounded by its capacity."""
-    parts = F.array_sort(F.collect_list(F.struct("offset", "stored")))
-    body = F.aggregate(parts, F.unhex(F.lit("")), lambda a, p: F.concat(a, F.unhex(F.lit("00" * overhead)), p["stored"]))
-    return packed.groupBy("container").agg(body.alias("body")).select("container", F.length("body").alias("size"), "body")
+    parts = packed.select("container", "offset", F.concat(F.unhex(F.lit("00" * overhead)), F.col("stored")).alias("part"))
+    return parts.groupBy("container").agg(F.expr("listagg(part) WITHIN GROUP (ORDER BY offset)").alias("body")).select("container", F.length("body").alias("size"), "body")
 
 
 def compressed(unique: DataFrame) -> DataFrame:
@@ -70,6 +73,26 @@ def read_chunks(recipe: DataFrame, boxes: DataFrame, flags: DataFrame, overhead:
 
 
 def restore(pieces: DataFrame) -> DataFrame:
-    """file_id, data: a file's chunks joined in order; a row is a whole file."""
-    joined = F.aggregate(F.array_sort(F.collect_list(F.struct("seq", "data"))), F.unhex(F.lit("")), lambda a, p: F.concat(a, p["data"]))
-    return pieces.groupBy("file_id").agg(joined.alias("data"))
+    """file_id, data: a file's chunks joined in order, each copied once; a row is a whole file."""
+    return pieces.groupBy("file_id").agg(F.expr("listagg(data) WITHIN GROUP (ORDER BY seq)").alias("data"))
+
+
+def write_files(restored: DataFrame, root: str, suffix: str = "-d") -> int:
+    """Writes each row (file_id, data) as a file of its own under root, a folder that all executors reach (any URI that Arrow
+    knows); returns how many. A file gets its name when it is whole, so a task that runs again leaves no half of one."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(root)
+        for pdf in batches:
+            for name, data in zip(pdf["file_id"].astype(str), pdf["data"], strict=True):
+                path = f"{top}/{quote(name, safe='')}{suffix}"
+                store.create_dir(top, recursive=True)
+                part = f"{path}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(data if data is not None else b"")
+                store.move(part, path)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return restored.select("file_id", "data").mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

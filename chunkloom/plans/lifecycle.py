@@ -2,36 +2,47 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.operators import chunking, frequency, leakage, statistics, storage
-from chunkloom.sources.store import Store, carry_over, materialise
+from chunkloom.operators import chunking, frequency, leakage, schemes, statistics, storage
+from chunkloom.plans.strategies import configured
+from chunkloom.sources.store import Config, Store, carry_over, materialise, write_statistics
+
 
+def ingest(store: Store, files: DataFrame, chunk_size: int | None = None, cutter: chunking.ContentCutter | None = None, capacity: int | None = None, index: str = "exact", config: Config | None = None) -> DataFrame:
+    """files (file_id, data): chunks, lets the index strategy named by `index` choose the copies to store, packs them, and
+    writes containers, recipes, the index, statistics and a line of the log. Returns the run's statistics (one row).
 
-def ingest(store: Store, files: DataFrame, chunk_size: int | None = None, cutter: chunking.ContentCutter | None = None, capacity: int = storage.CONTAINER) -> DataFrame:
-    """files (file_id, data): chunks, deduplicates against the store, packs what is new, and writes containers, recipes, the
-    index and statistics. Returns the run's statistics (one row). Content leaves the plan after the first of equals is
-    chosen: shuffles of all chunks carry fingerprints and sizes only."""
+    Sizes come from `config` unless they are given. Exact and frequency indexes know what earlier runs stored; similarity
+    and locality decide within a run, and store what their bins and champions miss. Content leaves the plan after the copies
+    are chosen: shuffles of all chunks carry fingerprints and sizes only.
+    """
+    began, config = time.monotonic(), config or Config()
+    cutter = cutter or chunking.ContentCutter(config.min_chunk, config.avg_chunk, config.max_chunk)
     cut = chunking.fixed_chunks(files.withColumn("data", F.col("data").cast("binary")), chunk_size) if chunk_size else chunking.content_chunks(files, cutter)
     listed = materialise(cut.withColumn("fp", F.sha2("data", 256)))
     chunks = listed.select("file_id", "seq", "size", "fp")
-    index = store.read("index")
-    firsts = chunks.groupBy("fp").agg(F.min(F.struct("file_id", "seq")).alias("at")).select("fp", "at.file_id", "at.seq")
-    fresh = firsts if index is None else firsts.join(index.select("fp"), "fp", "left_anti")
+    fresh = configured(index, config, store.read("index")).apply(chunks).select("file_id", "seq", "fp")
     content = listed.select("file_id", "seq", "size", "data").join(fresh, ["file_id", "seq"])
     run = len(store.versions("index", "a"))
     stored = storage.compressed(content).withColumn("writer", F.concat_ws(":", F.lit(str(run)), F.col("file_id").cast("string")))
-    packed = materialise(storage.pack(stored, capacity))
+    packed = materialise(storage.pack(stored, capacity or config.container))
     store.append("containers", storage.containers(packed))
-    added = packed.select("fp", "container", "offset", "length", "is_compressed", "size")
-    store.append("index", added)
-    store.append("recipes", storage.recipes(chunks, store.read("index")))
+    store.append("index", packed.select("fp", "container", "offset", "length", "is_compressed", "size"))
+    # a strategy may store several copies of a chunk; its recipes all point to one
+    addresses = store.read("index").groupBy("fp").agg(F.min(F.struct("container", "offset", "length")).alias("a")).select("fp", "a.*")
+    store.append("recipes", storage.recipes(chunks, addresses))
     stats = chunks.agg(F.count(F.lit(1)).alias("logical_chunks"), F.coalesce(F.sum("size"), F.lit(0)).alias("logical_size")).crossJoin(
         packed.agg(F.count(F.lit(1)).alias("unique_chunks"), F.coalesce(F.sum("size"), F.lit(0)).alias("unique_size"), F.coalesce(F.sum("length"), F.lit(0)).alias("compressed_size"))
     )
     stats = materialise(stats)
     store.write("statistics", materialise(carry_over(store.read("statistics"), stats)))
+    seconds = time.monotonic() - began
+    speed = statistics.throughput(stats.first()["logical_size"], seconds)
+    write_statistics(stats.select(F.lit(run).alias("run"), F.lit("upload").alias("opt"), "*", F.lit(seconds).alias("seconds"), F.lit(speed).alias("mib_per_second")), f"{store.root}/log")
     return stats
 
 
@@ -43,6 +54,25 @@ def restore(store: Store, file_ids: DataFrame | None = None) -> DataFrame:
     return storage.restore(storage.read_chunks(recipe, store.read("containers"), store.read("index")))
 
 
+def restore_files(store: Store, root: str, file_ids: DataFrame | None = None) -> int:
+    """Restores files as files under root; returns how many there are."""
+    return storage.write_files(restore(store, file_ids), root)
+
+
+def upload(chunks: DataFrame, scheme: str, secret: str = "chunkloom") -> tuple[DataFrame, DataFrame]:
+    """Encrypts, then deduplicates: (stored ciphertexts: cipher_fp, cipher; key recipes: file_id, seq, key, cipher_fp) of
+    chunks (file_id, seq, fp, data) under a scheme (the tunable one needs a column state)."""
+    ciphered = materialise(schemes.cipher_chunks(schemes.keys(chunks, scheme, secret), scheme))
+    kept = ciphered.groupBy("cipher_fp").agg(F.min(F.struct("file_id", "seq")).alias("at")).select("cipher_fp", "at.file_id", "at.seq")
+    return ciphered.select("file_id", "seq", "cipher").join(kept, ["file_id", "seq"]).select("cipher_fp", "cipher"), schemes.key_recipes(ciphered)
+
+
+def download(stored: DataFrame, key_recipe: DataFrame, scheme: str) -> DataFrame:
+    """file_id, data: files put together from stored ciphertexts by their key recipes."""
+    placed = key_recipe.select("file_id", "seq", "cipher_fp").join(stored, "cipher_fp").select("file_id", "seq", "cipher")
+    return storage.restore(schemes.open_chunks(placed, key_recipe, scheme))
+
+
 def analyse(chunks: DataFrame, k: int, batch: int = 128, width: int = 262_144, gate: str = "full") -> DataFrame:
     """One row: divergence of the plain frequencies, and of those that the index behind a frequency set of k sees."""
     seen = frequency.observed(frequency.replay(chunks, k, batch, width, gate))

@@ -83,8 +83,24 @@ b AS (SELECT rank, (upto - w) / all_w AS lo, upto / all_w AS hi FROM c), d AS (S
 e AS (SELECT seq, min(rank) AS rank FROM d JOIN b ON u >= lo AND u < hi GROUP BY seq UNION ALL SELECT range, range FROM range(1, 201))
 SELECT seq, sha256('zipf|' || rank::VARCHAR) AS fp, 8192 AS size FROM e"""
 
+
+
+def pieces(size: int) -> str:
+    """The documents (without empty ones) in pieces of so many bytes, as hex."""
+    return f"(SELECT file_id, i AS seq, substr(h, (i * {2 * size} + 1)::INT, {2 * size}) AS piece FROM (SELECT file_id, h, unnest(range((length(h) + {2 * size - 1}) // {2 * size})) AS i FROM (SELECT file_id, hex(encode(data)) AS h FROM {DOCS} WHERE data <> '')))"
+
+
+STORED = f"(SELECT piece, length(piece) // 2 AS n FROM {pieces(1024)} UNION ALL SELECT substr(h, (i * 2048 + 1)::INT, 2048), length(substr(h, (i * 2048 + 1)::INT, 2048)) // 2 FROM (SELECT h, unnest(range((length(h) + 2047) // 2048)) AS i FROM (SELECT hex(encode(text)) AS h FROM benchmark WHERE text <> '')))"
+SKETCH_T = solver(f"(SELECT count(*) AS freq FROM {cells(EVENTS, 512)} WHERE row = 0 GROUP BY pos)", 1.15)
+SPREAD = f"(SELECT fp, least(floor({unit(chr(39) + 'tunable|' + chr(39) + ' || seq::VARCHAR || ' + chr(39) + '|' + chr(39) + ' || fp')} * (est // t + 1)), est // t)::BIGINT AS state FROM {running(512)}, ({SKETCH_T}))"
+
 ORACLES: dict[str, str] = {
-    "file_scan": "SELECT 1::BIGINT AS n_files, true AS whole",
+    "ingest_statistics": f"SELECT (SELECT count(*) FROM {STORED}) AS logical_chunks, (SELECT sum(n) FROM {STORED})::BIGINT AS logical_size, count(*) AS unique_chunks, sum(n)::BIGINT AS unique_size FROM (SELECT DISTINCT piece, n FROM {STORED})",
+    "ingest_by_strategy": f"SELECT s AS strategy, count(DISTINCT piece) AS different_chunks, count(*) AS logical_chunks, CASE WHEN s IN ('exact', 'frequency') THEN count(DISTINCT piece) END AS stored_chunks, count(DISTINCT file_id) AS files, count(DISTINCT file_id) AS equal_files FROM {pieces(512)}, (VALUES ('exact'), ('frequency'), ('similarity'), ('locality')) v(s) GROUP BY s",
+    "scheme_round_trip": f"WITH p AS MATERIALIZED {pieces(512)} SELECT file_id, sha256(data) AS digest, s AS scheme, CASE WHEN s = 'tunable' THEN (SELECT count(*) FROM (SELECT DISTINCT piece, file_id % 2 FROM p)) ELSE (SELECT count(DISTINCT piece) FROM p) END AS stored FROM {DOCS}, (VALUES ('plain'), ('convergent'), ('server_aided'), ('tunable')) v(s) WHERE data <> ''",
+    "tunable_leakage": f"SELECT p.kld AS plain_kld, p.distinct AS plain_distinct, c.kld AS cipher_kld, c.distinct AS cipher_distinct, t FROM ({divergence('(SELECT fp, count(*) AS freq FROM ' + EVENTS + ' GROUP BY fp)')}) p, ({divergence('(SELECT fp, state, count(*) AS freq FROM ' + SPREAD + ' GROUP BY fp, state)')}) c, ({SKETCH_T})",
+    "random_draws_others": f"WITH p AS (SELECT range AS k, sum(exp(-3.0 + range * ln(3.0) - lgamma(range + 1))) OVER (ORDER BY range) AS c FROM range(200)) SELECT event_id, round(sqrt(-2 * ln(1 - {unit("'u|' || event_id::VARCHAR")})) * cos(2 * pi() * {unit("'v|' || event_id::VARCHAR")}) * 0.25 + 2.0, 9) AS normal, (SELECT count(*) FROM p WHERE c < 1 - 1e-12 AND c <= {unit('event_id::VARCHAR')}) AS poisson FROM events",
+    "file_scan": "SELECT 5::BIGINT AS n_files, true AS whole",
     "trace_parse": f"SELECT seq, substr(fp, 1, 12) AS fp, least(size * 3, 16384)::INT AS size FROM {EVENTS}",
     "trace_parse_short": f"SELECT seq, substr(fp, 1, 10) AS fp, least(size, 16384)::INT AS size FROM {EVENTS}",
     "trace_concat": f"SELECT row_number() OVER (ORDER BY t, seq) AS seq, fp, size FROM (SELECT 0 AS t, * FROM {EVENTS} UNION ALL SELECT 1, seq, fp, size::INT FROM {DOC_TRACE})",

@@ -14,11 +14,12 @@ from chunkloom.operators import chunking, dedup, frequency, generate, leakage, o
 from chunkloom.plans import lifecycle
 from chunkloom.plans.strategies import strategy
 from chunkloom.sources import traces
-from chunkloom.sources.store import Store, carry_over, lookup, shared_dir, upsert
+from chunkloom.sources.store import Config, Store, carry_over, lookup, shared_dir, upsert
 from chunkloom.streaming.incremental import dedup_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 WIDTH = 4096
+CONFIG = Config(top_k=256, sketch_width=4096, segment_min=20_000, segment_max=80_000, segment_chunks=40, segment_divisor=8, hook_bits=4)
 RULE = segments.SegmentRule(least=20_000, most=80_000, chunks=40, divisor=8, pattern=1)
 
 
@@ -51,8 +52,8 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def file_scan(spark, d):
-    """The files of a folder as binary rows."""
-    f = traces.read_files(spark, f"{d}/region.parquet")
+    """The files of several tables of a folder as binary rows."""
+    f = traces.read_files(spark, f"{d}/{{region,nation,supplier,customer,part}}.parquet")
     return f.agg(F.count(F.lit(1)).alias("n_files"), F.min(F.expr("size = length(data)")).alias("whole"))
 
 
@@ -99,10 +100,43 @@ def ingest_statistics(spark, d):
     return _filled(spark, d).read("statistics").select("logical_chunks", "logical_size", "unique_chunks", "unique_size")
 
 
-def _filled(spark: SparkSession, d: str) -> Store:
+@query
+def ingest_by_strategy(spark, d):
+    """Each strategy ingests the same files: chunks, what is stored of them, and whether the files come back."""
+    files, out = docs(spark, d).select("file_id", "data").filter("data <> ''"), None
+    for name in ("exact", "frequency", "similarity", "locality"):
+        store = _store(spark)
+        lifecycle.ingest(store, files, chunk_size=512, capacity=1 << 16, index=name, config=CONFIG)
+        back = lifecycle.restore(store).join(files.withColumnRenamed("data", "was"), "file_id")
+        same = back.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("data") == F.col("was").cast("binary")).alias("equal_files"))
+        counts = store.read("statistics").select("logical_chunks", F.when(F.lit(name in ("exact", "frequency")), F.col("unique_chunks")).alias("stored_chunks"))
+        one = store.read("index").agg(F.lit(name).alias("strategy"), F.countDistinct("fp").alias("different_chunks")).crossJoin(counts).crossJoin(same)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def scheme_round_trip(spark, d):
+    """Under each scheme the files are encrypted, deduplicated, and put together again by their key recipes."""
+    chunks = chunking.fixed_chunks(docs(spark, d).select("file_id", F.col("data").cast("binary").alias("data")).filter("length(data) > 0"), 512)
+    chunks = chunks.select("file_id", "seq", "data", F.sha2("data", 256).alias("fp"), (F.col("file_id") % 2).alias("state"))
+    out = None
+    for s in ("plain", "convergent", "server_aided", "tunable"):
+        stored, recipe = lifecycle.upload(chunks, s)
+        counted = stored.agg(F.lit(s).alias("scheme"), F.count(F.lit(1)).alias("stored"))
+        one = lifecycle.download(stored, recipe, s).select("file_id", F.sha2("data", 256).alias("digest")).crossJoin(counted)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _store(spark: SparkSession) -> Store:
     import uuid
 
-    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    return Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+
+
+def _filled(spark: SparkSession, d: str) -> Store:
+    store = _store(spark)
     first = docs(spark, d).select(F.concat(F.lit("d"), F.col("file_id").cast("string")).alias("file_id"), "data")
     second = traces.table(spark, d, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("file_id"), F.coalesce("text", F.lit("")).alias("data"))
     for files in (first, second):
@@ -323,6 +357,11 @@ def cms_murmur_cells(spark, d):
     return sketches.cells(traces.event_trace(spark, d), WIDTH, scheme="murmur")
 
 
+@query
+def cms_murmur128_cells(spark, d):
+    return sketches.cells(traces.event_trace(spark, d), WIDTH, scheme="murmur128")
+
+
 @query
 def cms_first_row(spark, d):
     return sketches.first_row(sketches.cells(traces.event_trace(spark, d), WIDTH))
@@ -467,7 +506,7 @@ def strategy_totals(spark, d):
     """Chunks that each strategy stores."""
     t = traces.file_trace(spark, d)
     out = None
-    for name, options in (("exact", {}), ("frequency", {}), ("similarity", {"rule": RULE})):
+    for name, options in (("exact", {}), ("frequency", {"k": 64, "width": 4096}), ("similarity", {"rule": RULE})):
         one = strategy(name, **options).apply(t).agg(F.lit(name).alias("strategy"), F.count(F.lit(1)).alias("stored"), F.countDistinct("fp").alias("unique"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -532,11 +571,10 @@ def key_metadata_overhead(spark, d):
 
 @query
 def content_keys(spark, d):
-    x = doc_chunks(spark, d).select("doc_id", "fp", F.lit(3).alias("state"))
-    out = x.select("doc_id")
-    for s in ("plain", "convergent", "server_aided", "tunable"):
-        out = out.join(schemes.keys(x, s).select("doc_id", F.col("key").alias(s)), "doc_id")
-    return out
+    out, names = doc_chunks(spark, d).select("doc_id", "fp", F.lit(3).alias("state")), ("plain", "convergent", "server_aided", "tunable")
+    for s in names:
+        out = schemes.keys(out, s).withColumnRenamed("key", s)
+    return out.select("doc_id", *names)
 
 
 @query
@@ -585,7 +623,7 @@ def random_draws(spark, d):
 @query
 def random_draws_others(spark, d):
     i = F.col("event_id")
-    return traces.table(spark, d, "events").select("event_id", generate.normal(2.0, 0.25, i).alias("normal"), generate.poisson(3.0, i).alias("poisson"))
+    return traces.table(spark, d, "events").select("event_id", F.round(generate.normal(2.0, 0.25, i), 9).alias("normal"), generate.poisson(3.0, i).alias("poisson"))
 
 
 @query

@@ -12,13 +12,17 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset (tests)."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; where it is unset,
+    a temporary one if this is a single machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="chunkloom-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -59,11 +63,26 @@ class Store:
         return self._add(name, "a", df, partition_by)
 
     def read(self, name: str, version: int | None = None) -> DataFrame | None:
-        whole, parts = self.versions(name), self.versions(name, "a")
-        if parts and version is None:
-            return self.spark.read.parquet(*(f"{self.root}/{name}/a{n}" for n in parts))
+        whole, folders = self.versions(name), self._parts(name)
+        if folders and version is None:
+            return self.spark.read.parquet(*(f"{self.root}/{name}/{f}" for f in folders))
         return self.spark.read.parquet(f"{self.root}/{name}/v{version or whole[-1]}") if whole else None
 
+    def _parts(self, name: str) -> list[str]:
+        """Folders that make up an appended table: the last compaction c<n>, in place of parts up to n, and the parts after it."""
+        last = (self.versions(name, "c") or [0])[-1]
+        return [f"c{last}"] * (last > 0) + [f"a{n}" for n in self.versions(name, "a") if n > last]
+
+    def compact(self, name: str, files: int = 8) -> None:
+        """Writes an appended table's parts as one, and deletes what that replaces. Readers see either the old folders or the new
+        one: it counts once it is complete."""
+        parts, old = self.versions(name, "a"), self._parts(name)
+        if len(old) > 1:
+            self.read(name).coalesce(files).write.mode("overwrite").parquet(f"{self.root}/{name}/c{parts[-1]}")
+            for f in old:
+                if f != f"a{parts[-1]}":  # the last number stays taken
+                    self._fs.delete(self._path(f"{self.root}/{name}/{f}"), True)
+
     def keep_last(self, name: str, n: int = 2) -> None:
         """Deletes all but the last n versions of a replaced table."""
         for v in self.versions(name)[:-n]:
