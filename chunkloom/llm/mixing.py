@@ -5,8 +5,8 @@ taken; the fractional parts meet in pairs, and each meeting moves mass (words, s
 random from one to the other until one of them is integral. Meetings change neither the expected copies of a document nor
 the words of a source. They run in chunks of a source and then over the chunks' residuals, in a tree whose nodes hold at
 most FAN_IN residuals, so no task sees a whole source. One fraction of a source is left at the root, which is rounded at
-random; other residuals of that node, those of small documents among them, are then turned over in a fixed order to make up
-for it, so for these few documents the expected copies hold only nearly.
+random; documents of that node are then turned over, always the one that makes up for it best, until none does, so for
+these few documents the expected copies hold only nearly.
 
 Defined results: null text and empty text have size 0 and are taken 0 words; a null source is a source of its own (last
 in order); rows that repeat an id, source, size and text hash are one unit with that many rows, and each row gets the same copies;
@@ -81,8 +81,8 @@ def _fold(mass: np.ndarray, room: np.ndarray, draws: np.ndarray) -> np.ndarray:
 
 
 def _settle(mass: np.ndarray, room: np.ndarray, draw: float) -> np.ndarray:
-    """Rounds the last fraction at random, and turns other documents over, the largest that fit first, until what this
-    added or took is made up for but for less than the smallest of them."""
+    """Rounds the last fraction at random, and turns documents over, always the one that makes up best for what this added
+    or took, until none brings the sum nearer."""
     inside = np.flatnonzero((mass > 0) & (mass < room))
     if not len(inside):
         return mass
@@ -90,10 +90,13 @@ def _settle(mass: np.ndarray, room: np.ndarray, draw: float) -> np.ndarray:
     up = draw * room[i] < mass[i]
     off = room[i] - mass[i] if up else -mass[i]
     mass[i] = room[i] if up else 0.0
-    for j in np.argsort(-room, kind="stable"):
-        if j != i and 0 < room[j] <= abs(off) and (mass[j] > 0) == (off > 0):
-            mass[j] = room[j] - mass[j]
-            off += room[j] if mass[j] > 0 else -room[j]
+    turned = np.where(mass > 0, -room, room)
+    while len(turned):
+        j = int(np.argmin(np.abs(off + turned)))
+        if abs(off + turned[j]) >= abs(off):
+            break
+        off += turned[j]
+        mass[j], turned[j] = room[j] - mass[j], -turned[j]
     return mass
 
 
