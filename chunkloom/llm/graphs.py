@@ -13,8 +13,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     In each round every vertex is named after the one with the smallest hash among itself and its neighbours, and the edges
     are renamed: those between equal names go, equal ones become one, and an edge joins each name with that name's own new
-    name. The hashes are others in each round, so the order of names along a path doesn't matter and about half of the
-    vertices go (a chain of n takes some log2 n rounds). A round works on the few edges that the last one left, until none is
+    name. The first two rounds go by the vertices themselves, which settles stars around a smallest vertex; then the hashes
+    are others in each round, so the order of names along a path doesn't matter and about half of the vertices go (a chain
+    of n takes some log2 n rounds). A round works on the few edges that the last one left, until none is
     left; then each component takes its smallest vertex. Names and edges are tables in the shared folder; a lost executor
     costs a read. Null ends are ignored; an empty edge table gives an empty result.
     """
@@ -22,7 +23,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     labels, turn = None, 0
     while labels is None or not left.isEmpty():
         turn += 1
-        drawn = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("w"))  # noqa: B023, E731
+        drawn = lambda c: F.struct((F.lit(0).cast("long") if turn <= 2 else F.xxhash64(F.lit(turn), c)).alias("h"), F.col(c).alias("w"))  # noqa: B023, E731
         ends = left.select(F.col("a").alias("v"), drawn("b").alias("n")).unionByName(left.select(F.col("b").alias("v"), drawn("a").alias("n")))
         names = cut(ends.groupBy("v").agg(F.min("n").alias("n")).select("v", F.least("n", drawn("v"))["w"].alias("name")))
         if labels is None:
