@@ -317,3 +317,35 @@ def test_streams(spark, tmp_path):
     assert spark.sql("select sum(freq) from counts").head()[0] == 600
     assert spark.sql("select fp, max(freq) f from running group by fp").filter("f <> 12").count() == 0
     assert spark.table("firsts").count() == 50
+
+
+@pytest.mark.parametrize("index", ["exact", "frequency", "similarity", "locality"])
+def test_ingest_by_every_strategy(spark, tmp_path, index):
+    data = [np.random.default_rng(i % 3).bytes(3000) for i in range(5)]
+    files = spark.createDataFrame([(i, bytearray(d)) for i, d in enumerate(data)], "file_id int, data binary")
+    s = stores.Store(spark, f"file://{tmp_path}/store")
+    config = stores.Config(top_k=4, batch=8, sketch_width=64, segment_min=500, segment_max=2000, segment_chunks=10, segment_divisor=4, hook_bits=1, container=4000)
+    r = lifecycle.ingest(s, files, chunk_size=100, index=index, config=config).head()
+    assert r["logical_chunks"] == 150 and r["unique_chunks"] >= 90 and (index not in ("exact", "frequency") or r["unique_chunks"] == 90)
+    assert {q["file_id"]: bytes(q["data"]) for q in lifecycle.restore(s).collect()} == dict(enumerate(data))
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/store/log").head()["logical_chunks"] == "150"
+    assert lifecycle.restore_files(s, f"file://{tmp_path}/out") == 5
+    assert [(tmp_path / "out" / f"{i}-d").read_bytes() for i in range(5)] == data
+
+
+def test_compaction_keeps_rows_and_numbers(spark, tmp_path):
+    s = stores.Store(spark, f"file://{tmp_path}/store")
+    for i in range(3):
+        s.append("t", spark.range(i * 10, i * 10 + 10))
+    s.compact("t")
+    assert sorted(r["id"] for r in s.read("t").collect()) == list(range(30))
+    assert s.append("t", spark.range(30, 40)) == 4
+    s.compact("t")
+    assert sorted(r["id"] for r in s.read("t").collect()) == list(range(40))
+
+
+def test_top_set_holds_little_more_than_its_fingerprints():
+    top = frequency.TopSet(10)
+    for i in range(5000):
+        top.offer(str(i % 7), i)
+    assert len(top.held) == 7 and len(top.heap) <= 2 * 7 + 65
