@@ -1,4 +1,10 @@
-"""A corpus pipeline of five stages over documents, each written as a table and read again by the next."""
+"""A corpus pipeline of five stages over documents, each written as a table and read again by the next.
+
+Defined results: null and empty texts are scored like any other by the classifier, are near-copies of nothing (rows that
+repeat both id and text leave one), hold no secret, have size 0 and are kept once by the mix, and have no tokens; null ids are an id of
+their own, a null source a source of its own; repeated rows and copies leave one row after the second stage; very long texts
+pass whole; further columns pass through all stages but the last, whatever their names; empty tables pass all stages empty.
+"""
 
 from __future__ import annotations
 
