@@ -31,10 +31,14 @@ from chunkloom.llm._common import cut, free_names, table, tidy
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that may stand within a paragraph without ending it, though what they hold isn't its text; formulas, whose text is.
+_ASIDES = frozenset("svg script style noscript template button select textarea iframe object canvas audio video input annotation annotation-xml".split())
+_MATH = frozenset("math semantics mrow mi mn mo ms mtext mspace msub msup msubsup munder mover munderover mfrac msqrt mroot mstyle mpadded mphantom menclose merror mtable mtr mtd mmultiscripts mprescripts none".split())
+_FLOWS = _INLINE | _ASIDES | _MATH
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("tr", "td", "th", "thead")}
 _SCOPES = frozenset("ul ol dl table select html body article main section div aside nav header footer form".split())
 #: Elements, and words in classes and ids, that mark what isn't main text.
-_OUT = frozenset("head nav aside footer form menu script style noscript template svg math iframe object select button textarea title dialog canvas audio video".split())
+_OUT = frozenset("head nav aside footer form menu script style noscript template svg annotation annotation-xml iframe object select button textarea title dialog canvas audio video".split())
 _OUT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar widget widgets nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer masthead toolbar share sharing social related recommended comment comments commentlist respond disqus reply replies skip".split()
 )
@@ -49,9 +53,13 @@ _WEAK, _STRONG = 1, 2
 _OUT_NAMES = frozenset(("header", "site-header", "page-header", "site_header", "page_header"))
 _GOOD_WORDS = frozenset("article content post entry main story body text prose".split())
 _WHOLE = frozenset(("html", "body", "article", "main", ""))
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_OPEN_END = re.compile(r"</?[a-zA-Z][^>]*\Z")
-_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: A comment, a declaration or a tag, which ends at the first > that isn't in a quoted value. Where there is none, the last
+#: alternative says so, and the rest of the page is read with tags that end at any > (or the page's end): no place is scanned
+#: twice, however broken the page.
+_NOT_TAG = r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
+_TOKEN = re.compile(_NOT_TAG + r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>|(</?[a-zA-Z])""", re.S)
+_PLAIN_TOKEN = re.compile(_NOT_TAG + r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
+_ATTR = re.compile(r"""(?<![\w:-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -76,7 +84,7 @@ class Page:
 
     def __init__(self, html: str):
         self.parent, self.name, self.tag, self.out, self.good, self.main = [-1], [""], [""], [False], [False], [False]
-        self.named, self.inside_article = [0], [False]
+        self.named, self.inside_article, self.block = [0], [False], [0]  # block: the element that text in this one belongs to
         self.blocks: list[tuple[int, str, int]] = []  # owner, text, characters in links
         self._pieces: list[tuple[int, list[tuple[int, str, bool]]]] = []  # owner, (element, text, whether in a link)
         self._read(html)
@@ -122,19 +130,13 @@ class Page:
     def _read(self, html: str) -> None:
         stack, text, links, at = [0], [], 0, 0
         counts: dict[str, int] = {}  # open elements by tag: an end tag without a start costs nothing
-        lowered = None
+        lowered, token = None, _TOKEN
 
-        def flush(owner: int) -> None:
+        def flush() -> None:
             if text:
-                self._pieces.append((owner, text.copy()))
+                self._pieces.append((self.block[stack[-1]], text.copy()))
                 text.clear()
 
-        def owner() -> int:
-            for n in reversed(stack):
-                if self.tag[n] not in _INLINE:
-                    return n
-            return 0
-
         def close(tag: str) -> None:
             nonlocal links
             while True:
@@ -151,25 +153,29 @@ class Page:
                 piece = unescape(piece) if "&" in piece else piece
                 text.append((stack[-1], piece, links > 0))
 
-        while m := _TOKEN.search(html, at):
+        while m := token.search(html, at):
             put(html[at : m.start()])
+            if token is _TOKEN and m[4]:
+                token, at = _PLAIN_TOKEN, m.start()
+                continue
             at = m.end()
             tag = m[2]
             if tag is None:
                 continue
             tag = tag.lower()
-            if tag not in _INLINE:
-                flush(owner())
-            elif tag in ("br", "wbr", "img") and not self.out[stack[-1]]:
-                if tag != "wbr":
-                    text.append((stack[-1], " ", False))
+            seen = not self.out[stack[-1]]  # what stands in an element outside the text ends no block around it
+            if tag not in _FLOWS:
+                if seen:
+                    flush()
+            elif tag in ("br", "img") and seen:
+                text.append((stack[-1], " ", False))
             if m[1]:
                 if counts.get(tag):
                     close(tag)
                 continue
-            if tag not in _INLINE and counts.get("p"):
+            if tag not in _FLOWS and seen and counts.get("p"):
                 self._end_open(stack, counts, ("p",), close)
-            if tag in _ENDS:
+            if tag in _ENDS and any(counts.get(t) for t in _ENDS[tag]):
                 self._end_open(stack, counts, _ENDS[tag], close)
             if tag in _VOID or m[3].endswith("/") and tag not in _OUT:
                 continue
@@ -184,8 +190,8 @@ class Page:
             counts[tag] = counts.get(tag, 0) + 1
             if tag == "a":
                 links += 1
-        put(_OPEN_END.sub("", html[at:]))
-        flush(owner())
+        put(html[at:])
+        flush()
 
     def _end_open(self, stack: list[int], counts: dict[str, int], tags: tuple[str, ...], close) -> None:
         for n in reversed(stack):
@@ -218,6 +224,7 @@ class Page:
                 how = max([how, *(_names_furniture(c, False, inside) for c in classes), *(_names_furniture(i, True, inside) for i in ids if tag not in _NO_IDS)])
             if how and not _LAYOUT.isdisjoint(classes):
                 how = _WEAK
+        self.block.append(self.block[parent] if tag in _FLOWS else len(self.tag))
         self.parent.append(parent)
         self.tag.append(tag)
         self.name.append(".".join((tag, *sorted({re.sub(r"\d+", "#", c) for c in classes}))))
@@ -234,7 +241,7 @@ class Page:
         for owner, text, linked in self.blocks:
             n = owner
             if self.tag[n] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "pre", "blockquote", "td", "tr", "tbody", "table", "dd", "dt", "dl", "figcaption"):
-                while self.tag[n] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "pre", "blockquote", "td", "th", "tr", "tbody", "thead", "table", "dd", "dt", "dl", "figcaption", "figure") or self.tag[n] in _INLINE:
+                while self.tag[n] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "pre", "blockquote", "td", "th", "tr", "tbody", "thead", "table", "dd", "dt", "dl", "figcaption", "figure") or self.tag[n] in _FLOWS:
                     n = self.parent[n]
             gain = len(text) - linked
             score[n] += gain

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -336,3 +337,22 @@ NAMED = [
 @pytest.mark.parametrize("inner, expected", NAMED)
 def test_names_put_furniture_outside_but_no_article(inner, expected):
     assert html_main.extract(page_of(inner), None)[0].split("\n") == expected
+
+
+@pytest.mark.parametrize("markup", ["<a " * 350_000, '<a =">" ' * 130_000, "<a ='\" " * 130_000, "<b><div></div>" * 70_000, "<p>x" * 200_000, "<script " * 100_000, "<a x=" + "='" * 400_000])
+def test_broken_pages_cost_their_length(markup):
+    began = time.time()
+    html_main.extract(markup, None)
+    assert time.time() - began < 20
+
+
+PHRASES = [
+    ("<p>We have <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> here.</p>", "We have x=2 here."),
+    ("<p>An <svg><title>t</title><path d='x'/></svg>icon, a <script>s</script>script, a <select><option>1<option>2</select>choice.</p>", "An icon, a script, a choice."),
+    ("<p title='a > b' data-class='sidebar'>A sign in a value.</p>", "A sign in a value."),
+]
+
+
+@pytest.mark.parametrize("inner, expected", PHRASES)
+def test_what_stands_within_a_paragraph_does_not_end_it(inner, expected):
+    assert html_main.extract(page_of(f"<article><p>{LONG}</p>{inner}</article>"), None)[0].split("\n") == [LONG.strip(), expected]
