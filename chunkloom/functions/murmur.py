@@ -1,4 +1,4 @@
-"""MurmurHash3 (x86, 32 bits, and x64, 128 bits) of binary columns, by the published algorithm.
+"""MurmurHash3 (x86, 32 and 128 bits, and x64, 128 bits) of binary columns, by the published algorithm.
 
 Spark's hash() is a relative with another treatment of trailing bytes and a fixed seed, so it can't stand in. Keys of equal
 length are hashed together in numpy.
@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the published algorithm.
 _X86 = (0xCC9E2D51, 0x1B873593, 0xE6546B64, 0x85EBCA6B, 0xC2B2AE35)
+_X86_128 = (0x239B961B, 0xAB0E9789, 0x38B34AE5, 0xA1E38B93)
+_X86_128_ADD = (0x561CCD1B, 0x0BCAA747, 0x96CD1C35, 0x32AC3B17)
+_X86_128_TURNS = ((15, 19), (16, 17), (17, 15), (18, 13))
 _X64 = (0x87C37B91114253D5, 0x4CF5AD432745937F, 0x52DCE729, 0x38495AB5, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 
 
@@ -77,6 +80,32 @@ def murmur3_128(keys: np.ndarray, seed: int = 0) -> np.ndarray:
     return np.stack([h1, h2], axis=1)
 
 
+def murmur3_x86_128(keys: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Four 32-bit words a row. Lane i takes every fourth word; a lane's word is mixed in before the next lane's is."""
+    n, u = keys.shape[1], np.uint32
+    c, add, f1, f2 = [u(x) for x in _X86_128], [u(x) for x in _X86_128_ADD], u(_X86[3]), u(_X86[4])
+    w = _words(keys, "<u4") if n else np.zeros((len(keys), 0), u)
+    h = [np.full(len(keys), seed, u) for _ in c]
+
+    def total() -> None:
+        h[0] = h[0] + h[1] + h[2] + h[3]
+        h[1:] = [x + h[0] for x in h[1:]]
+
+    with np.errstate(over="ignore"):
+        for at in range(w.shape[1]):
+            i, (turn_word, turn_lane) = at % 4, _X86_128_TURNS[at % 4]
+            h[i] = h[i] ^ _turn(w[:, at] * c[i], turn_word) * c[(i + 1) % 4]
+            if (at // 4 + 1) * 16 <= n:
+                h[i] = (_turn(h[i], turn_lane) + h[(i + 1) % 4]) * u(5) + add[i]
+        h = [x ^ u(n) for x in h]
+        total()
+        for shift, factor in ((16, f1), (13, f2)):
+            h = [(x ^ (x >> u(shift))) * factor for x in h]
+        h = [x ^ (x >> u(16)) for x in h]
+        total()
+    return np.stack(h, axis=1)
+
+
 def _by_length(keys: pd.Series, hashed) -> list:
     out: list = [None] * len(keys)
     groups: dict[int, list[int]] = {}
@@ -100,11 +129,12 @@ def murmur32(content: Column, seed: int = 0) -> Column:
     return run(content)
 
 
-def murmur128(content: Column, seed: int = 0) -> Column:
-    """Hex string of the two halves; null for null."""
+def murmur128(content: Column, seed: int = 0, x86: bool = False) -> Column:
+    """Hex string of the two halves (x86: of the four words); null for null."""
 
     @F.pandas_udf("string")
     def run(keys: pd.Series) -> pd.Series:
-        return pd.Series(_by_length(keys, lambda rows: [f"{int(a):016x}{int(b):016x}" for a, b in murmur3_128(rows, seed)]), dtype=object)
+        hashed, digits = (murmur3_x86_128, 8) if x86 else (murmur3_128, 16)
+        return pd.Series(_by_length(keys, lambda rows: ["".join(f"{int(w):0{digits}x}" for w in r) for r in hashed(rows, seed)]), dtype=object)
 
     return run(content)

@@ -94,7 +94,78 @@ STORED = f"(SELECT piece, length(piece) // 2 AS n FROM {pieces(1024)} UNION ALL
 SKETCH_T = solver(f"(SELECT count(*) AS freq FROM {cells(EVENTS, 512)} WHERE row = 0 GROUP BY pos)", 1.15)
 SPREAD = f"(SELECT fp, least(floor({unit(chr(39) + 'tunable|' + chr(39) + ' || seq::VARCHAR || ' + chr(39) + '|' + chr(39) + ' || fp')} * (est // t + 1)), est // t)::BIGINT AS state FROM {running(512)}, ({SKETCH_T}))"
 
+
+
+def _steps(source: str, steps: list[tuple[str, str]]) -> str:
+    """source with columns replaced one after the other."""
+    for name, expr in steps:
+        source = f"SELECT * REPLACE ({expr} AS {name}) FROM ({source})"
+    return source
+
+
+def _turned(x: str, r: int, bits: int = 32) -> str:
+    return f"((({x} << {r}) | ({x} >> {bits - r})) & {_ones(bits)})"
+
+
+def _ones(bits: int) -> str:
+    return f"{2**bits - 1}::{'UBIGINT' if bits == 32 else 'UHUGEINT'}"
+
+
+def _mixed(h: str, bits: int = 32) -> list[tuple[str, str]]:
+    """The published algorithm's last mixing of a word."""
+    (a, b, c), f = ((16, 13, 16), (0x85EBCA6B, 0xC2B2AE35)) if bits == 32 else ((33, 33, 33), (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
+    kind = "UBIGINT" if bits == 32 else "UHUGEINT"
+    return [(h, f"(xor({h}, {h} >> {a}) * {f[0]}::{kind}) & {_ones(bits)}"), (h, f"(xor({h}, {h} >> {b}) * {f[1]}::{kind}) & {_ones(bits)}"), (h, f"xor({h}, {h} >> {c})")]
+
+
+def murmur32(src: str, seed: int) -> str:
+    """fp, h: MurmurHash3 (x86, 32 bits) of a 32-byte digest, by the published algorithm on plain integers."""
+    one, steps = _ones(32), []
+    for i in range(8):
+        steps += [("k", f"({word('fp', i)}::UBIGINT * 3432918353::UBIGINT) & {one}"), ("k", f"({_turned('k', 15)} * 461845907::UBIGINT) & {one}"), ("h", "xor(h, k)"), ("h", f"({_turned('h', 13)} * 5 + 3864292196) & {one}")]
+    return _steps(f"SELECT DISTINCT fp, {seed}::UBIGINT AS h, 0::UBIGINT AS k FROM {src}", [*steps, ("h", "xor(h, 32::UBIGINT)"), *_mixed("h")])
+
+
+def murmur128(src: str, seed: int) -> str:
+    """fp, h1, h2: MurmurHash3 (x64, 128 bits) of a 32-byte digest."""
+    c, one, steps = ("9782798678568883157::UHUGEINT", "5545529020109919103::UHUGEINT"), _ones(64), []
+    lanes = (("h1", "h2", 31, 27, 1390208809), ("h2", "h1", 33, 31, 944331445))
+    for at in range(4):
+        h, other, r, s, add = lanes[at % 2]
+        steps += [("k", f"(({word('fp', 2 * at)}::UHUGEINT | ({word('fp', 2 * at + 1)}::UHUGEINT << 32)) * {c[at % 2]}) & {one}"), ("k", f"({_turned('k', r, 64)} * {c[1 - at % 2]}) & {one}"), (h, f"xor({h}, k)")]
+        steps += [(h, f"({_turned(h, s, 64)} + {other}) & {one}"), (h, f"({h} * 5 + {add}) & {one}")]
+    summed = [("h1", f"(h1 + h2) & {one}"), ("h2", f"(h2 + h1) & {one}")]
+    ends = [*((h, f"xor({h}, 32::UHUGEINT)") for h in ("h1", "h2")), *summed, *_mixed("h1", 64), *_mixed("h2", 64), *summed]
+    return _steps(f"SELECT DISTINCT fp, {seed}::UHUGEINT AS h1, {seed}::UHUGEINT AS h2, 0::UHUGEINT AS k FROM {src}", steps + ends)
+
+
+def murmur128_x86(src: str, seed: int) -> str:
+    """fp, h0 to h3: MurmurHash3 (x86, 128 bits) of a 32-byte digest."""
+    c, add, turns = (597399067, 2869860233, 951274213, 2716044179), (1444728091, 197830471, 2530024501, 850148119), ((15, 19), (16, 17), (17, 15), (18, 13))
+    one, steps = _ones(32), []
+    for at in range(8):
+        i, after = at % 4, (at + 1) % 4
+        steps += [("k", f"({word('fp', at)}::UBIGINT * {c[i]}::UBIGINT) & {one}"), ("k", f"({_turned('k', turns[i][0])} * {c[after]}::UBIGINT) & {one}"), (f"h{i}", f"xor(h{i}, k)")]
+        steps += [(f"h{i}", f"({_turned(f'h{i}', turns[i][1])} + h{after}) & {one}"), (f"h{i}", f"(h{i} * 5 + {add[i]}) & {one}")]
+    summed = [("h0", f"(h0 + h1 + h2 + h3) & {one}"), *((f"h{i}", f"(h{i} + h0) & {one}") for i in (1, 2, 3))]
+    ends = [*((f"h{i}", f"xor(h{i}, 32::UBIGINT)") for i in range(4)), *summed, *(s for i in range(4) for s in _mixed(f"h{i}")), *summed]
+    return _steps(f"SELECT DISTINCT fp, {', '.join(f'{seed}::UBIGINT AS h{i}' for i in range(4))}, 0::UBIGINT AS k FROM {src}", steps + ends)
+
+
+def murmur_cells(width: int) -> str:
+    return " UNION ALL ".join(f"SELECT {r} AS row, (h % {width})::INT AS pos, n FROM ({murmur32(EVENTS, r)}) JOIN n USING (fp)" for r in range(4))
+
+
+def _hex(x: str, digits: int) -> str:
+    return f"lpad(lower(to_hex({x}::UBIGINT)), {digits}, '0')"
+
+
+COUNTED = f"n AS (SELECT fp, count(*) AS n FROM {EVENTS} GROUP BY fp)"
+
 ORACLES: dict[str, str] = {
+    "murmur_hashes": f"SELECT fp, h::BIGINT AS h32, {_hex('h1', 16)} || {_hex('h2', 16)} AS h128, h128_x86 FROM ({murmur32(EVENTS, 1)}) JOIN (SELECT fp, h1, h2 FROM ({murmur128(EVENTS, 1)})) USING (fp) JOIN (SELECT fp, {' || '.join(_hex(f'h{i}', 8) for i in range(4))} AS h128_x86 FROM ({murmur128_x86(EVENTS, 1)})) USING (fp)",
+    "cms_murmur_cells": f"WITH {COUNTED} SELECT row, pos, sum(n)::BIGINT AS cnt FROM ({murmur_cells(4096)}) GROUP BY row, pos",
+    "cms_murmur128_cells": f"WITH {COUNTED}, m AS MATERIALIZED ({murmur128(EVENTS, 0)}), w AS (SELECT fp, unnest([{{'row': 0, 'w': h1 & {_ones(64)} & 4294967295}}, {{'row': 1, 'w': h1 >> 32}}, {{'row': 2, 'w': h2 & 4294967295}}, {{'row': 3, 'w': h2 >> 32}}], recursive := true) FROM m) SELECT row, (w % 4096)::INT AS pos, sum(n)::BIGINT AS cnt FROM w JOIN n USING (fp) GROUP BY row, pos",
     "ingest_statistics": f"SELECT (SELECT count(*) FROM {STORED}) AS logical_chunks, (SELECT sum(n) FROM {STORED})::BIGINT AS logical_size, count(*) AS unique_chunks, sum(n)::BIGINT AS unique_size FROM (SELECT DISTINCT piece, n FROM {STORED})",
     "ingest_by_strategy": f"SELECT s AS strategy, count(DISTINCT piece) AS different_chunks, count(*) AS logical_chunks, CASE WHEN s IN ('exact', 'frequency') THEN count(DISTINCT piece) END AS stored_chunks, count(DISTINCT file_id) AS files, count(DISTINCT file_id) AS equal_files FROM {pieces(512)}, (VALUES ('exact'), ('frequency'), ('similarity'), ('locality')) v(s) GROUP BY s",
     "scheme_round_trip": f"WITH p AS MATERIALIZED {pieces(512)} SELECT file_id, sha256(data) AS digest, s AS scheme, CASE WHEN s = 'tunable' THEN (SELECT count(*) FROM (SELECT DISTINCT piece, file_id % 2 FROM p)) ELSE (SELECT count(DISTINCT piece) FROM p) END AS stored FROM {DOCS}, (VALUES ('plain'), ('convergent'), ('server_aided'), ('tunable')) v(s) WHERE data <> ''",

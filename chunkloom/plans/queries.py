@@ -227,7 +227,7 @@ def file_ids(spark, d):
 @query
 def murmur_hashes(spark, d):
     x = traces.event_trace(spark, d).select("fp").distinct()
-    return x.select("fp", murmur32(F.unhex("fp"), 1).alias("h32"), murmur128(F.unhex("fp"), 1).alias("h128"))
+    return x.select("fp", murmur32(F.unhex("fp"), 1).alias("h32"), murmur128(F.unhex("fp"), 1).alias("h128"), murmur128(F.unhex("fp"), 1, x86=True).alias("h128_x86"))
 
 
 @query

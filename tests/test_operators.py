@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -11,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from chunkloom.functions.murmur import murmur3_32, murmur3_128
+from chunkloom.functions.murmur import murmur3_32, murmur3_128, murmur3_x86_128
 from chunkloom.operators import chunking, dedup, frequency, generate, leakage, ordered, segments, sketches, storage
 from chunkloom.plans import lifecycle
 from chunkloom.sources import store as stores
@@ -232,6 +233,22 @@ def test_murmur_published_values():
     assert f"{int(murmur3_128(one(b'hello'), 0)[0, 0]):016x}{int(murmur3_128(one(b'hello'), 0)[0, 1]):016x}" == "cbd8a7b341bd9b025b1e906a48ae1d19"
 
 
+@pytest.mark.parametrize("hashed, kind, expected", [(murmur3_32, "<u4", 0xB0F57EE3), (murmur3_x86_128, "<u4", 0xB3ECE62A), (murmur3_128, "<u8", 0x6384BA69)])
+def test_murmur_published_verification(hashed, kind, expected):
+    """The algorithm's published verification codes, a hash of hashes of all lengths up to 255."""
+    all_hashes = b"".join(hashed(np.arange(n, dtype=np.uint8).reshape(1, -1), 256 - n).astype(kind).tobytes() for n in range(256))
+    last = hashed(np.frombuffer(all_hashes, np.uint8).reshape(1, -1), 0).astype(kind).tobytes()
+    assert int.from_bytes(last[:4], "little") == expected
+
+
+@pytest.mark.parametrize("ratio", [1.5, 2.0, 4.0])
+def test_generated_content_shrinks_by_about_its_ratio(ratio):
+    raw = b"".join(generate.compressible(1 << 15, ratio, seed) for seed in range(8))
+    assert len(raw) == 8 << 15 and generate.compressible(999, ratio, 3) == generate.compressible(999, ratio, 3)
+    got = len(raw) / len(zlib.compress(raw, 1))
+    assert 0.6 * ratio < got < 1.4 * ratio
+
+
 def test_trace_files(spark, tmp_path):
     (tmp_path / "a").write_text("AB:01:ff:10:22:9c\t\t8192\t\t10\n\nab:01:ff:10:22:9d 99999 1\n")
     (tmp_path / "b").write_text("0b:01:ff:10:22:9c\t4096")
