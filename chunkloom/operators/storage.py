@@ -65,11 +65,19 @@ def compressed(unique: DataFrame) -> DataFrame:
 
 def read_chunks(recipe: DataFrame, boxes: DataFrame, flags: DataFrame, overhead: int = IV) -> DataFrame:
     """file_id, seq, data: recipe entries joined with containers, sliced and decompressed. flags: container, offset,
-    is_compressed. Each distinct address is sliced once, before the join with the recipes that use it."""
+    is_compressed. A container is joined once, with the list of its distinct addresses that the recipes name (as many as its
+    capacity holds), and sliced there: its body goes neither with each chunk nor to Python."""
+    address = F.struct("offset", "length", "is_compressed")
     wanted = recipe.select("container", "offset", "length").distinct().join(flags.select("container", "offset", "is_compressed"), ["container", "offset"])
-    stored = F.substr(F.col("body"), (F.col("offset") + overhead + 1).cast("int"), F.col("length").cast("int"))
-    cut = wanted.join(boxes.select("container", "body"), "container").select("container", "offset", decompress(stored, F.col("is_compressed")).alias("data"))
-    return recipe.join(cut, ["container", "offset"]).select("file_id", "seq", "data")
+    listed = boxes.select("container", "body").join(wanted.groupBy("container").agg(F.collect_set(address).alias("addresses")), "container")
+
+    def cut(a):
+        stored = F.substr(F.col("body"), (a["offset"] + overhead + 1).cast("int"), a["length"].cast("int"))
+        return F.struct(a["offset"].alias("offset"), a["is_compressed"].alias("is_compressed"), stored.alias("stored"))
+
+    sliced = listed.select("container", F.explode(F.transform("addresses", cut)).alias("c"))
+    chunks = sliced.select("container", "c.offset", decompress(F.col("c.stored"), F.col("c.is_compressed")).alias("data"))
+    return recipe.join(chunks, ["container", "offset"]).select("file_id", "seq", "data")
 
 
 def restore(pieces: DataFrame) -> DataFrame:
