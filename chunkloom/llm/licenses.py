@@ -27,12 +27,21 @@ PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apach
 #: Added by the method: (template, label, mandatory key phrases). Openings of public licences and of usual notices.
 TEMPLATES = (
     ("this work is licensed under the gnu general public license version 3", "gpl-3", ("gnu general public license version 3", "gnu gpl version 3")),
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", "gpl-2", ("gnu general public license as published", "gnu general public license version 2")),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", "gpl-2", ("version 2 of the license", "gnu general public license version 2")),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", "gpl-3", ("version 3 of the license", "gnu general public license version 3")),
+    ("you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", "agpl-3", ("gnu affero general public license",)),
     ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lgpl", ("gnu lesser general public license",)),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd", ("redistribution and use in source and binary forms",)),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2", ("mozilla public license",)),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit", ("permission is hereby granted free of charge",)),
     ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by", ("creative commons attribution 4 0 international", "creative commons attribution license")),
+    ("this work is licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa", ("creative commons attribution sharealike",)),
+    ("this work is licensed under a creative commons attribution noncommercial 4 0 international license", "cc-by-nc", ("creative commons attribution noncommercial",)),
+    ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "cc0", ("waived all copyright and related or neighboring rights",)),
+    ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache-2", ("apache license version 2 0",)),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc", ("with or without fee is hereby granted",)),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public license", "epl", ("eclipse public license",)),
+    ("distributed under the boost software license version 1 0", "bsl", ("boost software license version 1 0",)),
     ("this is free and unencumbered software released into the public domain", "unlicense", ("unencumbered software released into the public domain",)),
 )
 #: Least share of a longer template's weight, rare words that look it up at least, and words that its place may be off by.

@@ -356,3 +356,20 @@ PHRASES = [
 @pytest.mark.parametrize("inner, expected", PHRASES)
 def test_what_stands_within_a_paragraph_does_not_end_it(inner, expected):
     assert html_main.extract(page_of(f"<article><p>{LONG}</p>{inner}</article>"), None)[0].split("\n") == [LONG.strip(), expected]
+
+
+NOTICES = [
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or later.", "gpl-3"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or later.", "gpl-2"),
+    ("you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "agpl-3"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa"),
+    ("Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "apache-2"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("We talked about the GNU General Public License and its version 3 all day.", ""),
+]
+
+
+def test_usual_notices(docs_of):
+    docs = docs_of([(n, f"A file. {text} More of it.") for n, (text, _) in enumerate(NOTICES)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(docs, licenses.build(docs)).collect()}
+    assert got == {n: label for n, (_, label) in enumerate(NOTICES)}
