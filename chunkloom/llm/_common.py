@@ -12,6 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch between the JVM and a worker, where the session names no bound. Spark's own 64 MiB are held
+#: several times over by each task: in the JVM's buffers, in the worker's batch and as its Python strings.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a new temporary one if this is a single
     machine (tests); a cluster whose executors couldn't see such a folder is told so."""
@@ -67,6 +73,13 @@ def slices(texts: list, most: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session sends rows to workers in batches of BATCH_BYTES (a longer row is a batch of its own), unless it names a bound itself."""
+    if df.sparkSession.conf.get(_BATCH, None) is None:
+        df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run, which gives the memory that it has freed back to the system when its task ends: workers outlive their tasks."""
 

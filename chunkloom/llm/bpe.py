@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkloom.llm._common import slices, table, tidy
+from chunkloom.llm._common import in_small_batches, slices, table, tidy
 
 END = "</w>"
 #: The characters that the library's patterns take as white space.
@@ -460,7 +460,7 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", *keep])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {k} {'array<int>' if k == 'ids' else 'string'}" for k in keep))
+    return in_small_batches(docs.select(id_col, text_col)).mapInArrow(tidy(run), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {k} {'array<int>' if k == 'ids' else 'string'}" for k in keep))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm._common import cut, free_names, table, tidy
+from chunkloom.llm._common import cut, free_names, in_small_batches, table, tidy
 
 #: HTML's raw text, void and inline elements, and elements that end an open one of their kind.
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -369,7 +369,7 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
                     rows.append((host, page.path(page.climbed(n)), score[n]))
             yield pd.DataFrame(rows, columns=["host", "path", "score"])
 
-    ballots = pages.select(host_of(F.col(url_col)).alias("host"), html_col).filter("host is not null").mapInPandas(vote, "host string, path string, score double")
+    ballots = in_small_batches(pages).select(host_of(F.col(url_col)).alias("host"), html_col).filter("host is not null").mapInPandas(vote, "host string, path string, score double")
     sums = ballots.groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum("score").alias("score"))
     best = F.max_by(F.struct("path", "votes"), F.struct("votes", F.round("score"), F.col("path")))
     return sums.groupBy("host").agg(best.alias("best")).select("host", "best.path", "best.votes")
@@ -393,7 +393,7 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", ke
             found = [extract(h, p) for h, p in zip(pdf[source].tolist(), pdf[path].tolist(), strict=True)]
             yield pdf[list(keep)].assign(text=[t for t, _ in found], path=[p for _, p in found])
 
-    return joined.mapInPandas(tidy(run), schema)
+    return in_small_batches(joined).mapInPandas(tidy(run), schema)
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:

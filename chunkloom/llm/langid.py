@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chunkloom.llm._common import bucket_of, slices, table, tidy
+from chunkloom.llm._common import bucket_of, in_small_batches, slices, table, tidy
 
 ORDER = 5
 TRAIN_CHARS, TRAIN_TOTAL, TRAIN_LANGS = 800_000, 24_000_000, 500
@@ -262,7 +262,7 @@ def identify(docs: DataFrame, identifier: Identifier | None, text_col: str = "te
                     out = fitted.predict(texts[a:b])
                 yield pd.concat([pdf[list(keep)].iloc[a:b].reset_index(drop=True), out], axis=1)
 
-    return docs.select(*dict.fromkeys((*keep, text_col))).mapInPandas(tidy(run), schema)
+    return in_small_batches(docs.select(*dict.fromkeys((*keep, text_col)))).mapInPandas(tidy(run), schema)
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", chars: int = TRAIN_CHARS) -> Identifier | None:

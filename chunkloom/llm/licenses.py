@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm._common import table, tidy
+from chunkloom.llm._common import in_small_batches, table, tidy
 
 #: Phrases and labels of the contract.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -137,7 +137,7 @@ def word_frequencies(docs: DataFrame, text_col: str, vocabulary: frozenset[bytes
                     df[w] += 1
         yield pd.DataFrame([("", n), *((w.decode(), k) for w, k in df.items())], columns=["word", "n"])
 
-    rows = docs.select(text_col).mapInPandas(tidy(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = in_small_batches(docs.select(text_col)).mapInPandas(tidy(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     df = {r["word"].encode(): r["n"] for r in rows}
     return df, df.pop(b"", 0)
 
@@ -164,7 +164,7 @@ def scan(docs: DataFrame, index: Index, text_col: str = "text", keep: tuple[str,
             out = pd.DataFrame(rows, columns=["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]).astype({"first_word": "Int64", "last_word": "Int64"})
             yield pd.concat([pdf[list(keep)].reset_index(drop=True), out], axis=1)
 
-    return docs.select(*dict.fromkeys((*keep, text_col))).mapInPandas(tidy(run), schema)
+    return in_small_batches(docs.select(*dict.fromkeys((*keep, text_col)))).mapInPandas(tidy(run), schema)
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm._common import cut, free_names, slices, table, tidy
+from chunkloom.llm._common import cut, free_names, in_small_batches, slices, table, tidy
 from chunkloom.llm.graphs import connected_components
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 192
@@ -176,7 +176,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, minhash: MinHash, words:
                 sigs = np.stack([minhash.signature(s) for s in sets])
                 yield pd.DataFrame({"id": pdf[id_col].array[a:b], "set_id": [set_name(s) for s in sets], "bands": list(minhash.keys(sigs)), "sig": [x.tobytes() for x in minhash.short(sigs)]})
 
-    return docs.select(id_col, text_col).mapInPandas(tidy(run), f"id {docs.schema[id_col].dataType.simpleString()}, set_id binary, bands array<long>, sig binary")
+    return in_small_batches(docs.select(id_col, text_col)).mapInPandas(tidy(run), f"id {docs.schema[id_col].dataType.simpleString()}, set_id binary, bands array<long>, sig binary")
 
 
 def _likely(threshold: float, hashes: int) -> float:
@@ -285,7 +285,7 @@ def _groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
                 part = pdf.iloc[a:b].drop(columns=["id", "text"]).assign(shingles=[s.tobytes() for s in sets])
                 yield part[[set_name(s) == v for s, v in zip(sets, part["v"], strict=True)]]  # an id may stand with several texts
 
-    sets = wanted.mapInPandas(tidy(with_sets), "v binary, comp binary, blocks long, n long, shingles binary")
+    sets = in_small_batches(wanted).mapInPandas(tidy(with_sets), "v binary, comp binary, blocks long, n long, shingles binary")
     if n_nameless:  # texts that only rows without an id have are found by their sets
 
         def all_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -339,7 +339,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = [t if isinstance(t, str) else "" for t in series.tolist()]
             yield pd.Series([set_name(s) for a, b in slices(texts, SLICE) for s in shingle_sets(texts[a:b])], dtype=object)
 
-    named = docs.withColumn(own_set, names(F.col(text_col)))
+    named = in_small_batches(docs).withColumn(own_set, names(F.col(text_col)))
     first = kept.filter("set_id is not null").groupBy("component").agg(F.min("set_id").alias("set_id"), F.first(id_col).alias("id"))
     rows = cut(first.select("id", "set_id").unionByName(kept.filter("set_id is null").select(F.col(id_col).alias("id"), "set_id").distinct()).toDF(own_id, kept_set))
     small = rows.count() <= BROADCAST_ROWS

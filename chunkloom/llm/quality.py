@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm._common import bucket_of, slices, table, tidy
+from chunkloom.llm._common import bucket_of, in_small_batches, slices, table, tidy
 
 BLOCK, WIDTH, STRIDE, FILTERS, HIDDEN = 128, 8, 4, 16, 16
 TRAIN_ROWS, TRAIN_BYTES = 4000, 16 << 20
@@ -198,7 +198,7 @@ def score(docs: DataFrame, network: Network | None, text_col: str = "text", keep
             texts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in pdf[text_col].tolist()]
             yield pdf[list(keep)].assign(score=net.scores(texts) if net else 0.5)
 
-    return docs.select(*dict.fromkeys((*keep, text_col))).mapInPandas(tidy(run), schema)
+    return in_small_batches(docs.select(*dict.fromkeys((*keep, text_col)))).mapInPandas(tidy(run), schema)
 
 
 def accepted(docs: DataFrame, network: Network | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -212,7 +212,7 @@ def accepted(docs: DataFrame, network: Network | None, text_col: str = "text", t
             texts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             yield batch.filter(pa.array(shared.value.scores(texts) >= threshold, pa.bool_()))
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return in_small_batches(docs).mapInArrow(tidy(run), docs.schema)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

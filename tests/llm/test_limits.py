@@ -4,10 +4,12 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from chunkloom.llm import ann, graphs, html_main, langid, licenses, mixing, ngram_join, quality, secrets
+from chunkloom.llm._common import BATCH_BYTES, in_small_batches
 from chunkloom.llm.queries import queries
 
 WORDS = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
@@ -240,3 +242,26 @@ def test_pipeline_mixes_and_encodes_like_plain_versions(spark, sf):
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     rows = stages["encoding"](spark, docs, sf).collect()
     assert len(rows) == len(texts) and all(r["ids"] == library.encode(texts[r["doc_id"]], add_special_tokens=False).ids for r in rows)
+
+
+def test_batches_to_workers_are_small(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 24_000, numPartitions=2).select(F.col("id"), F.repeat(F.lit("word "), 400).alias("text"))
+
+    def size(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    before = spark.conf.get(name, None)
+    try:
+        spark.conf.unset(name)
+        rows = in_small_batches(docs).mapInArrow(size, "n long, size long").collect()
+        assert sum(r["n"] for r in rows) == 24_000 and max(r["size"] for r in rows) < 2 * BATCH_BYTES
+        spark.conf.set(name, "4096")
+        in_small_batches(docs)
+        assert spark.conf.get(name) == "4096"  # a session's own bound stays
+        few = docs.limit(40)
+        groups = ngram_join.jaccard_groups(few, "id")
+        assert groups.filter("kept").count() == 1 and groups.agg(F.min("n_links")).first()[0] == 39
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
