@@ -59,6 +59,45 @@ summ AS (SELECT file_id, segment, count(*) AS chunk_num, sum(size)::BIGINT AS se
 ranked AS (SELECT *, row_number() OVER (PARTITION BY min_fp ORDER BY file_id, segment) AS rk, first_value(seg_hash) OVER (PARTITION BY min_fp ORDER BY file_id, segment) AS first_hash FROM summ),
 kept AS (SELECT s.min_fp, g.fp, arg_min(g.size, {{'f': g.file_id, 's': g.seq}}) AS size FROM seg g JOIN summ s USING (file_id, segment) GROUP BY s.min_fp, g.fp)
 """
+
+
+def replayed(k: int, batch: int, width: int) -> str:
+    """The frequency set's replay, a row after the other: `top` is the set in the order in which its members leave it."""
+    held = "list_contains(list_transform(w.top, lambda x: x.fp), r.fp)"
+    new = "{'freq': r.est, 'came': r.i, 'fp': r.fp}"
+    again = "{'freq': r.est, 'came': list_filter(w.top, lambda x: x.fp = r.fp)[1].came, 'fp': r.fp}"
+    return f"""(WITH RECURSIVE e AS (SELECT (seq - 1) // {batch} AS batch, fp, min(seq) AS seq, count(*) AS n, arg_max(est, seq) AS est FROM {running(width)} GROUP BY ALL),
+    r AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY batch, seq) AS i FROM e),
+    walk AS (
+      SELECT 0::BIGINT AS i, -1::BIGINT AS batch, []::STRUCT(freq BIGINT, came BIGINT, fp VARCHAR)[] AS top, []::VARCHAR[] AS known, 0::BIGINT AS bar
+      UNION ALL
+      SELECT r.i, r.batch,
+        CASE WHEN {held} THEN CASE WHEN len(w.top) < {k} OR r.est >= w.top[1].freq THEN list_sort(list_append(list_filter(w.top, lambda x: x.fp <> r.fp), {again})) ELSE w.top END
+          WHEN len(w.top) < {k} THEN list_sort(list_append(w.top, {new}))
+          WHEN r.est >= w.top[1].freq THEN list_sort(list_append(w.top[2:], {new})) ELSE w.top END,
+        CASE WHEN r.batch <> w.batch THEN list_transform(w.top, lambda x: x.fp) ELSE w.known END,
+        CASE WHEN r.batch = w.batch THEN w.bar WHEN len(w.top) >= {k} THEN w.top[1].freq ELSE 0 END
+      FROM walk w JOIN r ON r.i = w.i + 1)
+    SELECT r.batch, r.fp, r.n, r.est, CASE WHEN r.est >= w.bar AND list_contains(w.known, r.fp) THEN 'inside' ELSE 'outer' END AS served FROM r JOIN walk w USING (i))"""
+
+
+def located(champions: int, per_hook: int, bits: int) -> str:
+    """The locality index, a segment after the other: manifests as lists of fingerprints, hooks with the manifests that they name."""
+    return SEGMENTED + f""", numbered AS MATERIALIZED (SELECT file_id, segment, fp, dense_rank() OVER (ORDER BY fp) AS f, ('0x' || substr(fp, 1, 2))::INT < {1 << (8 - bits)} AS hook FROM seg),
+s AS MATERIALIZED (SELECT file_id, segment, count(*) AS chunks, list(DISTINCT f) AS fps, coalesce(list(DISTINCT f) FILTER (WHERE hook), []) AS hooks, row_number() OVER (ORDER BY file_id, segment) AS i FROM numbered GROUP BY file_id, segment),
+found AS (
+  SELECT 0::BIGINT AS i, 0::BIGINT AS stored, []::BIGINT[][] AS manifests, []::STRUCT(h BIGINT, m BIGINT)[] AS hooks
+  UNION ALL
+  SELECT i, len(fresh), CASE WHEN len(fresh) > 0 THEN list_append(manifests, fps) ELSE manifests END,
+    CASE WHEN len(fresh) > 0 THEN list_concat(hooks, list_transform(own, lambda h: {{'h': h, 'm': len(manifests) + 1}})) ELSE hooks END
+  FROM (SELECT *, list_filter(fps, lambda f: NOT list_contains(known, f)) AS fresh
+  FROM (SELECT *, flatten(list_transform(list_sort(list_transform(list_distinct(newest), lambda m: {{'hits': -len(list_filter(newest, lambda y: y = m)), 'm': m}}))[:{champions}], lambda c: manifests[c.m])) AS known
+  FROM (SELECT *, list_transform(list_filter(met, lambda x: len(list_filter(met, lambda y: y.h = x.h AND y.m > x.m)) < {per_hook}), lambda x: x.m) AS newest
+  FROM (SELECT s.i, s.fps, s.hooks AS own, w.manifests, w.hooks, list_filter(w.hooks, lambda x: list_contains(s.hooks, x.h)) AS met FROM found w JOIN s ON s.i = w.i + 1)))))
+SELECT file_id, sum(chunks)::BIGINT AS chunks, sum(stored)::BIGINT AS stored, count_if(stored > 0)::BIGINT AS manifests FROM s JOIN found USING (i) GROUP BY file_id"""
+
+
+OUTER = f"(SELECT fp, count(*) AS freq FROM {replayed(64, 128, 512)} WHERE served = 'outer' GROUP BY fp)"
 HOOKS = f"(SELECT DISTINCT (seq - 1) // 64 AS segment, fp AS hook FROM {EVENTS} WHERE ('0x' || substr(fp, 1, 2))::INT < 16)"
 HOOK_INDEX = f"(SELECT hook, segment AS manifest FROM (SELECT *, row_number() OVER (PARTITION BY hook ORDER BY segment DESC) AS r FROM {HOOKS}) WHERE r <= 5)"
 CANDIDATES = f"(SELECT h.segment, i.manifest, count(*) AS hits FROM {HOOKS} h JOIN {HOOK_INDEX} i USING (hook) GROUP BY ALL)"
@@ -221,13 +260,17 @@ ORACLES: dict[str, str] = {
     "solver_threshold_sketch": solver(f"(SELECT count(*) AS freq FROM {cells(EVENTS, 512)} WHERE row = 0 GROUP BY pos)", 1.3),
     "tunable_state_counts": f"SELECT fp, state, count(*) AS freq FROM {STATES} GROUP BY fp, state",
     "tunable_kld": divergence(f"(SELECT fp, state, count(*) AS freq FROM {STATES} GROUP BY fp, state)"),
-    "frequency_totals": f"SELECT count(*) AS logical_chunks, count(DISTINCT fp) AS unique_chunks, (SELECT count(*) FROM (SELECT DISTINCT (seq - 1) // 128, fp FROM {EVENTS})) AS probes, count(*) - (SELECT count(*) FROM (SELECT DISTINCT (seq - 1) // 128, fp FROM {EVENTS})) AS batch_duplicates FROM {EVENTS}",
+    "frequency_replay": f"SELECT * FROM {replayed(64, 128, 512)}",
+    "frequency_replay_per_chunk": f"SELECT * FROM {replayed(64, 1, 512)}",
+    "frequency_totals": f"WITH x AS MATERIALIZED {replayed(64, 128, 512)}, f AS (SELECT fp, min(batch) AS since FROM x GROUP BY fp) SELECT sum(n)::BIGINT AS logical_chunks, count(DISTINCT fp) AS unique_chunks, count_if(served = 'inside')::BIGINT AS inside_probes, count_if(served = 'outer')::BIGINT AS outer_probes, count_if(served = 'outer' AND batch > since)::BIGINT AS outer_duplicates, sum(n - 1)::BIGINT AS batch_duplicates FROM x JOIN f USING (fp)",
+    "frequency_leakage": f"SELECT p.logical, p.distinct, p.kld AS plain_kld, o.logical AS observed, o.kld AS cipher_kld FROM ({divergence('(SELECT fp, count(*) AS freq FROM ' + EVENTS + ' GROUP BY fp)')}) p, ({divergence(OUTER)}) o",
     "frequency_leakage_large_set": f"SELECT p.logical, p.distinct, p.kld AS plain_kld, p.distinct AS observed, 0.0::DOUBLE AS cipher_kld FROM ({divergence('(SELECT fp, count(*) AS freq FROM ' + EVENTS + ' GROUP BY fp)')}) p",
     "segment_min_fp": f"SELECT (seq - 1) // 64 AS segment, count(*) AS chunk_num, sum(size)::BIGINT AS seg_size, arg_min(fp, {{'v': {byte_sum('fp')}, 's': seq}}) AS min_fp, sha256(string_agg(size::VARCHAR || ':' || fp, ',' ORDER BY seq)) AS seg_hash FROM {EVENTS} GROUP BY 1",
     "content_segment_summaries": SEGMENTED + "SELECT file_id, segment, chunk_num, seg_size, first_seq, min_fp, seg_hash FROM summ",
     "similarity_segments": SEGMENTED + "SELECT CASE WHEN rk = 1 THEN 'unique' WHEN seg_hash = first_hash THEN 'duplicate' ELSE 'different' END AS kind, count(*) AS n_segments, sum(chunk_num)::BIGINT AS n_chunks FROM ranked GROUP BY 1",
     "similarity_dedup_stats": SEGMENTED + "SELECT count(*) AS stored_chunks, sum(size)::BIGINT AS stored_size, count(DISTINCT fp) AS unique_chunks FROM kept",
     "strategy_totals": SEGMENTED + f"SELECT 'similarity' AS strategy, count(*) AS stored, count(DISTINCT fp) AS \"unique\" FROM kept UNION ALL SELECT s, count(DISTINCT fp), count(DISTINCT fp) FROM {FILES}, (VALUES ('exact'), ('frequency')) v(s) GROUP BY s",
+    "locality_dedup": located(10, 10, 4),
     "hook_fifo_cap": f"SELECT hook, manifest FROM {HOOK_INDEX}",
     "hook_manifest_candidates": f"SELECT * FROM {CANDIDATES}",
     "champion_top10": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY hits DESC, manifest) AS rank FROM {CANDIDATES}) WHERE rank <= 10",

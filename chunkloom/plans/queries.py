@@ -433,8 +433,8 @@ def frequency_replay_per_chunk(spark, d):
 
 @query
 def frequency_totals(spark, d):
-    r = frequency.dedup_report(traces.event_trace(spark, d), frequency.replay(traces.event_trace(spark, d), 64, 128, 512))
-    return r.select("logical_chunks", "unique_chunks", (F.col("inside_probes") + F.col("outer_probes")).alias("probes"), "batch_duplicates")
+    """How many probes the set and the index behind it served."""
+    return frequency.dedup_report(traces.event_trace(spark, d), frequency.replay(traces.event_trace(spark, d), 64, 128, 512))
 
 
 @query
