@@ -22,9 +22,16 @@ def keys(chunks: DataFrame, scheme: str, secret: str = "chunkloom", state: str |
 
 def cipher_chunks(keyed: DataFrame, scheme: str) -> DataFrame:
     """keyed (…, data, key) with cipher and cipher_fp; the plain scheme stores the data as it is."""
-    data = F.col("data").cast("binary")
-    cipher = data if scheme == "plain" else ciphers.deterministic_encrypt(data, F.col("key"))
-    return keyed.withColumn("cipher", cipher).withColumn("cipher_fp", F.sha2("cipher", 256))
+    return keyed.withColumn("cipher", ciphertext(F.col("data"), F.col("key"), scheme)).withColumn("cipher_fp", F.sha2("cipher", 256))
+
+
+def ciphertext(data: Column, key: Column, scheme: str) -> Column:
+    return data.cast("binary") if scheme == "plain" else ciphers.deterministic_encrypt(data.cast("binary"), key)
+
+
+def opened(scheme: str) -> Column:
+    """The data of a row (cipher, key)."""
+    return F.col("cipher") if scheme == "plain" else ciphers.decrypt(F.col("cipher"), F.col("key"))
 
 
 def key_recipes(ciphered: DataFrame) -> DataFrame:
@@ -34,7 +41,7 @@ def key_recipes(ciphered: DataFrame) -> DataFrame:
 def open_chunks(ciphers_by_position: DataFrame, key_recipe: DataFrame, scheme: str) -> DataFrame:
     """file_id, seq, data: each chunk under the key at its own place in the key recipe."""
     x = ciphers_by_position.join(key_recipe.select("file_id", "seq", "key"), ["file_id", "seq"])
-    return x.select("file_id", "seq", (F.col("cipher") if scheme == "plain" else ciphers.decrypt(F.col("cipher"), F.col("key"))).alias("data"))
+    return x.select("file_id", "seq", opened(scheme).alias("data"))
 
 
 def metadata_overhead(logical: Column, unique: Column) -> tuple[Column, Column]:

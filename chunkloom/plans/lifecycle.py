@@ -61,16 +61,21 @@ def restore_files(store: Store, root: str, file_ids: DataFrame | None = None) ->
 
 def upload(chunks: DataFrame, scheme: str, secret: str = "chunkloom") -> tuple[DataFrame, DataFrame]:
     """Encrypts, then deduplicates: (stored ciphertexts: cipher_fp, cipher; key recipes: file_id, seq, key, cipher_fp) of
-    chunks (file_id, seq, fp, data) under a scheme (the tunable one needs a column state)."""
-    ciphered = materialise(schemes.cipher_chunks(schemes.keys(chunks, scheme, secret), scheme))
-    kept = ciphered.groupBy("cipher_fp").agg(F.min(F.struct("file_id", "seq")).alias("at")).select("cipher_fp", "at.file_id", "at.seq")
-    return ciphered.select("file_id", "seq", "cipher").join(kept, ["file_id", "seq"]).select("cipher_fp", "cipher"), schemes.key_recipes(ciphered)
+    chunks (file_id, seq, fp, data) under a scheme (the tunable one needs a column state).
+
+    Only the recipes are written. Equal ciphertexts meet as data and key, which compress in a shuffle, and one of them is
+    encrypted where they meet; chunks must come out alike each time they are read, as encryption here does."""
+    ciphered = schemes.cipher_chunks(schemes.keys(chunks, scheme, secret), scheme)
+    recipe = materialise(schemes.key_recipes(ciphered))
+    kept = ciphered.groupBy("cipher_fp").agg(F.first(F.struct("data", "key")).alias("c"))
+    return kept.select("cipher_fp", schemes.ciphertext(F.col("c.data"), F.col("c.key"), scheme).alias("cipher")), recipe
 
 
 def download(stored: DataFrame, key_recipe: DataFrame, scheme: str) -> DataFrame:
-    """file_id, data: files put together from stored ciphertexts by their key recipes."""
-    placed = key_recipe.select("file_id", "seq", "cipher_fp").join(stored, "cipher_fp").select("file_id", "seq", "cipher")
-    return storage.restore(schemes.open_chunks(placed, key_recipe, scheme))
+    """file_id, data: files put together from stored ciphertexts by their key recipes. A recipe's entry brings its key to the
+    ciphertext, so content is moved once more only, opened, to its file."""
+    placed = key_recipe.select("file_id", "seq", "key", "cipher_fp").join(stored.select("cipher_fp", "cipher"), "cipher_fp")
+    return storage.restore(placed.select("file_id", "seq", schemes.opened(scheme).alias("data")))
 
 
 def analyse(chunks: DataFrame, k: int, batch: int = 128, width: int = 262_144, gate: str = "full") -> DataFrame:

@@ -14,7 +14,7 @@ from chunkloom.operators import chunking, dedup, frequency, generate, leakage, o
 from chunkloom.plans import lifecycle
 from chunkloom.plans.strategies import strategy
 from chunkloom.sources import traces
-from chunkloom.sources.store import Config, Store, carry_over, lookup, shared_dir, upsert
+from chunkloom.sources.store import Config, Store, carry_over, discard, lookup, materialise, shared_dir, upsert
 from chunkloom.streaming.incremental import dedup_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,14 +117,16 @@ def ingest_by_strategy(spark, d):
 
 @query
 def scheme_round_trip(spark, d):
-    """Under each scheme the files are encrypted, deduplicated, and put together again by their key recipes."""
+    """Under each scheme the files are encrypted, deduplicated, and put together again by their key recipes: one scheme after
+    the other, so that what one moves is gone before the next."""
     chunks = chunking.fixed_chunks(docs(spark, d).select("file_id", F.col("data").cast("binary").alias("data")).filter("length(data) > 0"), 512)
     chunks = chunks.select("file_id", "seq", "data", F.sha2("data", 256).alias("fp"), (F.col("file_id") % 2).alias("state"))
     out = None
     for s in ("plain", "convergent", "server_aided", "tunable"):
         stored, recipe = lifecycle.upload(chunks, s)
-        counted = stored.agg(F.lit(s).alias("scheme"), F.count(F.lit(1)).alias("stored"))
-        one = lifecycle.download(stored, recipe, s).select("file_id", F.sha2("data", 256).alias("digest")).crossJoin(counted)
+        counted = recipe.agg(F.lit(s).alias("scheme"), F.countDistinct("cipher_fp").alias("stored"))  # of `stored`, without encrypting again
+        one = materialise(lifecycle.download(stored, recipe, s).select("file_id", F.sha2("data", 256).alias("digest")).crossJoin(counted))
+        discard(recipe)
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -10,6 +10,8 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share; where it is unset,
@@ -28,10 +30,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Writes df once and reads it again, which also ends its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/made-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df once and reads it again, which also ends its lineage. Its plan's shuffle files go as soon as it is written."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/made-{uuid.uuid4().hex}"
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a materialised df, which can't be read any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getName().startswith("made-"):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class Store:

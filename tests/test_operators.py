@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -366,3 +367,38 @@ def test_top_set_holds_little_more_than_its_fingerprints():
     for i in range(5000):
         top.offer(str(i % 7), i)
     assert len(top.held) == 7 and len(top.heap) <= 2 * 7 + 65
+
+
+def _shuffle_files(spark):
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_what_is_materialised_leaves_no_shuffle_files(spark):
+    before = _shuffle_files(spark)
+    made = stores.materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 10
+    while (left := _shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.1)
+    assert not left and made.count() == 7
+    assert spark.conf.get(stores.CLEANUP) == "false"
+    stores.discard(made)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        made.count()
+
+
+def test_upload_writes_recipes_only(spark):
+    import glob
+    import os
+
+    data = [np.random.default_rng(i % 30).bytes(20_000) for i in range(40)]
+    files = spark.createDataFrame([(i, bytearray(d)) for i, d in enumerate(data)], "file_id int, data binary")
+    chunks = chunking.fixed_chunks(files, 1000).select("file_id", "seq", "data", F.sha2("data", 256).alias("fp"), F.lit(0).alias("state"))
+    shared = stores.shared_dir(spark).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(f) for f in glob.glob(f"{shared}/**/*.parquet", recursive=True))
+    for scheme in ("plain", "convergent", "server_aided", "tunable"):
+        was = size()
+        stored, recipe = lifecycle.upload(chunks, scheme)
+        assert size() - was < 200_000  # of 800,000 bytes of content
+        assert stored.count() == 600
+        assert {r["file_id"]: bytes(r["data"]) for r in lifecycle.download(stored, recipe, scheme).collect()} == dict(enumerate(data))
