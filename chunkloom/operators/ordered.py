@@ -54,11 +54,27 @@ def running_count(df: DataFrame, keys: list[str], order: str, block: Column, nam
     return x.join(sums.select(*keys, "_block", before.alias("_before")), [*keys, "_block"]).withColumn(name, F.col("_before") + F.col("_inside")).drop("_block", "_before", "_inside", "_n")
 
 
+def _hashes(key: Column) -> tuple[Column, Column]:
+    return F.xxhash64(key), F.xxhash64(F.lit("again"), key)
+
+
+def numbered_keys(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df with a long `name` in place of `key`, equal where the key is and different where it differs: a hash, if no two keys
+    share it (as another hash tells), else the keys' own numbers. What is read twice is written once."""
+    a, b = _hashes(F.col(key))
+    hashed = materialise(df.select(*(c for c in df.columns if c != key), a.alias(name), b.alias("_b")))
+    if not hashed.select(name, "_b").distinct().groupBy(name).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
+        return hashed.drop("_b")
+    return df.join(dense_sequence(df.select(key).distinct(), [key], name), key).drop(key)
+
+
 def dense_sequence(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
-    """Numbers rows 1, 2, ... in the given order: range partitions are numbered on their own and shifted by the counts
-    of those before them, so no task sees all rows. The ranges are written once, so that both reads see the same ones."""
-    parts = materialise(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    """Numbers rows 1, 2, ... in the given order: range partitions are sorted and numbered on their own and shifted by the
+    counts of those before them, so no task sees all rows. They are written once, with a row's partition and place in it
+    (what monotonically_increasing_id is made of), so that no shuffle more is needed and both reads see the same ones."""
+    parts = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    parts = parts.withColumn("_part", F.shiftright("_at", 33).cast("int")).withColumn("_inside", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
     counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row per partition
     shift = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_shift"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return parts.withColumn(name, inside).join(F.broadcast(shift), "_part").withColumn(name, (F.col(name) + F.col("_shift")).cast("long")).drop("_part", "_shift")
+    numbered = parts.join(F.broadcast(shift), "_part").withColumn(name, F.col("_inside") + F.col("_shift") + 1)
+    return numbered.drop("_part", "_shift", "_inside", "_at")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkloom.functions.digests import byte_sum, is_hook, list_digest
-from chunkloom.operators.ordered import ordered_fold
+from chunkloom.operators.ordered import numbered_keys
 from chunkloom.sources.store import materialise
 
 
@@ -26,34 +28,36 @@ class SegmentRule:
     pattern: int = 1
 
 
-def _digest_values(fps: pd.Series) -> np.ndarray:
+def _digest_values(fps: pa.Array) -> np.ndarray:
     """Sums of the digests' bytes (as functions.digests.byte_sum), for a batch at a time."""
-    if fps.str.len().nunique() == 1:
-        return np.frombuffer(bytes.fromhex("".join(fps)), np.uint8).reshape(len(fps), -1).sum(axis=1, dtype=np.int32)
-    return np.array([sum(bytes.fromhex(f)) for f in fps], np.int32)
+    every = fps.to_pylist()
+    if len({len(f) for f in every}) == 1:
+        return np.frombuffer(bytes.fromhex("".join(every)), np.uint8).reshape(len(every), -1).sum(axis=1, dtype=np.int32)
+    return np.array([sum(bytes.fromhex(f)) for f in every], np.int32)
 
 
 def content_segments(chunks: DataFrame, rule: SegmentRule = SegmentRule()) -> DataFrame:
-    """chunks (file_id, seq, fp, size) with value and segment, numbered from 0 in each file."""
-
-    def start() -> list[int]:
-        return [0, 0, 0]  # segment, its chunks, its bytes
-
-    def step(state: list[int], pdf: pd.DataFrame) -> pd.DataFrame:
-        segment, count, total = state
-        out, values = [], _digest_values(pdf["fp"])
-        for size, value in zip(pdf["size"].tolist(), values.tolist(), strict=True):
-            ends = count + 1 > rule.chunks or total + size > rule.most or total + size >= rule.least and value % rule.divisor == rule.pattern
-            if ends and count:
-                segment, count, total = segment + 1, 0, 0
-            count, total = count + 1, total + size
-            out.append(segment)
-        state[:] = segment, count, total
-        return pdf.assign(value=values, segment=out)
+    """chunks (file_id, seq, fp, size) with value and segment, numbered from 0 in each file. Many small files cost no more
+    than a large one: a batch is walked as it comes, and its columns are passed on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, segment, count, total, begun = None, 0, 0, 0, False
+        for batch in batches:
+            values, out = _digest_values(batch.column("fp")), []
+            fits = (values % rule.divisor == rule.pattern).tolist()
+            for f, size, fit in zip(batch.column("file_id").to_pylist(), batch.column("size").to_pylist(), fits, strict=True):
+                if f != file or not begun:
+                    file, segment, count, total, begun = f, 0, 0, 0, True
+                elif count + 1 > rule.chunks or total + size > rule.most or total + size >= rule.least and fit:
+                    segment, count, total = segment + 1, 0, 0
+                count, total = count + 1, total + size
+                out.append(segment)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.int32()), pa.array(out, pa.int64())], names=[*batch.schema.names, "value", "segment"])
 
     kind = chunks.schema["file_id"].dataType.simpleString()
     x = chunks.select("file_id", F.col("seq").cast("long").alias("seq"), "fp", F.col("size").cast("int").alias("size"))
-    return ordered_fold(x, ["file_id"], ["seq"], start, step, f"file_id {kind}, seq long, fp string, size int, value int, segment long")
+    ordered = x.repartition("file_id").sortWithinPartitions("file_id", "seq")
+    return ordered.mapInArrow(run, f"file_id {kind}, seq long, fp string, size int, value int, segment long")
 
 
 def fixed_segments(chunks: DataFrame, n: int) -> DataFrame:
@@ -110,54 +114,65 @@ def champions(candidates: DataFrame, n: int = 10) -> DataFrame:
     return candidates.withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
-def locality_index(segmented: DataFrame, n_champions: int = 10, per_hook: int = 10, bits: int = 6) -> DataFrame:
-    """Locality-based deduplication: chunks with is_unique, is_new_manifest and manifest.
+def locality_decisions(segmented: DataFrame, n_champions: int = 10, per_hook: int = 10, bits: int = 6) -> DataFrame:
+    """Locality-based deduplication, a row for each segment: file_id, segment, is_unique (an array, in the order of its chunks)
+    and manifest (the number of the one it made, or -1).
 
     Segments come in the order of file_id and segment. A segment's hooks name candidate manifests, its best ones are the
     champions, and its chunks are looked up in these only; a segment with a unique chunk makes a new manifest. What a
-    segment finds depends on all before it, so this is one sequential task by definition: it streams chunks in batches and
-    holds the manifests (a fingerprint for each chunk of each segment that had a unique one) and the hook lists.
+    segment finds depends on all before it, so this is one sequential task by definition. It gets a row for each segment,
+    with numbers in place of fingerprints, and holds only manifests that a hook still names (8 bytes a fingerprint).
     """
 
-    class State:
-        def __init__(self):
-            self.manifests: list[set[str]] = []
-            self.hooks: dict[str, list[int]] = {}
-            self.open: list[tuple] = []
-
-    def settle(state: State) -> pd.DataFrame:
-        rows, state.open = state.open, []
-        if not rows:
-            return pd.DataFrame([], columns=["file_id", "segment", "seq", "fp", "size", "is_unique", "is_new_manifest", "manifest"])
-        fps = [r[3] for r in rows]
-        sampled = dict.fromkeys(f for f in fps if int(f[:2], 16) < 1 << (8 - bits))
-        hits: dict[int, int] = {}
-        for h in sampled:
-            for m in state.hooks.get(h, ()):
-                hits[m] = hits.get(m, 0) + 1
-        best = sorted(hits, key=lambda m: (-hits[m], m))[:n_champions]
-        seen, unique = set(), []
-        for f in fps:
-            fresh = f not in seen and not any(f in state.manifests[m] for m in best)
-            seen.add(f)
-            unique.append(fresh)
-        number = -1
-        if any(unique):
-            number = len(state.manifests)
-            state.manifests.append(seen)
-            for h in sampled:
-                state.hooks[h] = [*state.hooks.get(h, []), number][-per_hook:]
-        return pd.DataFrame([(*r, u, number >= 0, number) for r, u in zip(rows, unique, strict=True)], columns=["file_id", "segment", "seq", "fp", "size", "is_unique", "is_new_manifest", "manifest"])
-
-    def step(state: State, pdf: pd.DataFrame) -> pd.DataFrame:
-        done = []
-        for r in pdf[["file_id", "segment", "seq", "fp", "size"]].itertuples(index=False, name=None):
-            if state.open and state.open[-1][:2] != r[:2]:
-                done.append(settle(state))
-            state.open.append(r)
-        return pd.concat(done, ignore_index=True) if done else settle(State())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        manifests: dict[int, array] = {}
+        named: dict[int, int] = {}  # by how many hooks
+        index: dict[int, list[int]] = {}
+        made = 0
+        for batch in batches:
+            numbers, flags = [], []
+            lists = {c: (batch.column(c).values.to_pylist(), batch.column(c).offsets.to_pylist()) for c in ("ids", "hooks")}
+            (ids, at), (hook_ids, hook_at) = lists["ids"], lists["hooks"]
+            for i in range(batch.num_rows):
+                fps, sampled = ids[at[i] : at[i + 1]], hook_ids[hook_at[i] : hook_at[i + 1]]
+                hits: dict[int, int] = {}
+                for h in sampled:
+                    for m in index.get(h, ()):
+                        hits[m] = hits.get(m, 0) + 1
+                seen = set(fps)
+                fresh = seen.difference(*(manifests[m] for m in sorted(hits, key=lambda m: (-hits[m], m))[:n_champions]))
+                number = -1
+                if fresh:
+                    number, made = made, made + 1
+                    if sampled:
+                        manifests[number], named[number] = array("q", seen), len(sampled)
+                    for h in sampled:
+                        newest = index.setdefault(h, [])
+                        newest.append(number)
+                        if len(newest) > per_hook:
+                            old = newest.pop(0)
+                            named[old] -= 1
+                            if not named[old]:
+                                del named[old], manifests[old]
+                numbers.append(number)
+                for f in fps:
+                    flags.append(f in fresh)
+                    fresh.discard(f)
+            unique = pa.ListArray.from_arrays(pa.array([o - at[0] for o in at], pa.int32()), pa.array(flags, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("file_id"), batch.column("segment"), unique, pa.array(numbers, pa.int64())], names=["file_id", "segment", "is_unique", "manifest"])
 
     kind = segmented.schema["file_id"].dataType.simpleString()
-    x = segmented.select(F.lit(0).alias("all"), "file_id", "segment", "seq", "fp", "size")
-    schema = f"file_id {kind}, segment long, seq long, fp string, size int, is_unique boolean, is_new_manifest boolean, manifest long"
-    return ordered_fold(x, ["all"], ["file_id", "segment", "seq"], State, step, schema, finish=lambda state, key: settle(state))
+    x = numbered_keys(segmented.select("file_id", "segment", "seq", "fp", is_hook(F.col("fp"), bits).alias("hook")), "fp", "id")
+    listed = x.groupBy("file_id", "segment").agg(F.array_sort(F.collect_list(F.struct("seq", "id", "hook"))).alias("c"))
+    rows = listed.select(F.lit(0).alias("all"), "file_id", "segment", F.col("c.id").alias("ids"), F.array_distinct(F.filter("c", lambda c: c["hook"])["id"]).alias("hooks"))
+    ordered = rows.repartition("all").sortWithinPartitions("file_id", "segment")
+    return ordered.mapInArrow(run, f"file_id {kind}, segment long, is_unique array<boolean>, manifest long")
+
+
+def locality_index(segmented: DataFrame, n_champions: int = 10, per_hook: int = 10, bits: int = 6) -> DataFrame:
+    """What locality_decisions decides, for each chunk: chunks with is_unique, is_new_manifest and manifest."""
+    segmented = materialise(segmented.select("file_id", "segment", F.col("seq").cast("long").alias("seq"), "fp", F.col("size").cast("int").alias("size")))
+    decided = locality_decisions(segmented, n_champions, per_hook, bits)
+    listed = segmented.groupBy("file_id", "segment").agg(F.array_sort(F.collect_list(F.struct("seq", "fp", "size"))).alias("c"))
+    each = listed.join(decided, ["file_id", "segment"]).select("file_id", "segment", "manifest", F.explode(F.arrays_zip("c", "is_unique")).alias("x"))
+    return each.select("file_id", "segment", "x.c.seq", "x.c.fp", "x.c.size", "x.is_unique", (F.col("manifest") >= 0).alias("is_new_manifest"), "manifest")

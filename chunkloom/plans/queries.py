@@ -499,8 +499,10 @@ def champion_top10(spark, d):
 
 @query
 def locality_dedup(spark, d):
-    x = segments.locality_index(segments.content_segments(traces.file_trace(spark, d), RULE), bits=4)
-    return x.groupBy("file_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.col("is_unique").cast("long")).alias("stored"), F.countDistinct(F.when(F.col("is_new_manifest"), F.col("manifest"))).alias("manifests"))
+    x = segments.locality_decisions(segments.content_segments(traces.file_trace(spark, d), RULE), bits=4)
+    return x.groupBy("file_id").agg(
+        F.sum(F.size("is_unique").cast("long")).alias("chunks"), F.sum(F.size(F.filter("is_unique", lambda u: u)).cast("long")).alias("stored"), F.countDistinct(F.when(F.col("manifest") >= 0, F.col("manifest"))).alias("manifests")
+    )
 
 
 @query

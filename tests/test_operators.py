@@ -402,3 +402,25 @@ def test_upload_writes_recipes_only(spark):
         assert size() - was < 200_000  # of 800,000 bytes of content
         assert stored.count() == 600
         assert {r["file_id"]: bytes(r["data"]) for r in lifecycle.download(stored, recipe, scheme).collect()} == dict(enumerate(data))
+
+
+def test_many_small_files_cost_little(spark):
+    """Folds walk batches; one pandas frame for each of 20,000 files took about a minute here in all."""
+    t = spark.range(40_000).select((F.col("id") % 20_000).alias("file_id"), F.col("id").alias("seq"), F.sha2(F.col("id").cast("string"), 256).alias("fp"), F.lit(10).alias("size"))
+    segments.content_segments(t.limit(10)).count()
+    began = time.time()
+    assert segments.content_segments(t).agg(F.count("*"), F.max("segment")).head()[:] == (40_000, 0)
+    packed = storage.pack(t.select(F.col("file_id").alias("writer"), "seq", F.col("size").alias("length")), 100)
+    assert packed.agg(F.sum("offset")).head()[0] == 20_000 * 26
+    assert time.time() - began < 20
+
+
+def test_locality_decides_alike_when_hashes_clash(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(f, i // 6, i, sha(rng.randint(0, 60)), 10) for f in range(2) for i in range(60)]
+    df = spark.createDataFrame(rows, "file_id int, segment long, seq long, fp string, size int")
+    expected = locality_plainly(rows, 2, 3, 2)
+    real = ordered._hashes
+    monkeypatch.setattr(ordered, "_hashes", lambda key: (real(key)[0] % 8, real(key)[1]))
+    got = segments.locality_decisions(df, 2, 3, 2).collect()
+    assert {(r["file_id"], r["segment"], 6 * r["segment"] + i): u for r in got for i, u in enumerate(r["is_unique"])} == expected
