@@ -7,36 +7,35 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkloom.functions.codec import compress, decompress
-from chunkloom.operators.ordered import ordered_fold
 
 CONTAINER, IV = 4 << 20, 16
 
 
 def pack(stored: DataFrame, capacity: int = CONTAINER, overhead: int = IV) -> DataFrame:
     """stored (writer, seq, length, ...) with container and offset: a writer's chunks fill a container in order until one
-    would reach its capacity. Writers pack in parallel; container names come from writer and number."""
-
-    def start() -> list[int]:
-        return [0, 0]  # container, bytes used
-
-    def step(state: list[int], pdf: pd.DataFrame) -> pd.DataFrame:
-        number, used = state
-        numbers, offsets = [], []
-        for n in pdf["length"].tolist():
-            if overhead + n + used >= capacity and used:
-                number, used = number + 1, 0
-            numbers.append(number)
-            offsets.append(used)
-            used += overhead + n
-        state[:] = number, used
-        return pdf.assign(number=numbers, offset=offsets)
+    would reach its capacity. Writers pack in parallel, and many small ones cost no more than a large one; container names come from writer and number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer, number, used, begun = None, 0, 0, False
+        for batch in batches:
+            numbers, offsets = [], []
+            for w, n in zip(batch.column("writer").to_pylist(), batch.column("length").to_pylist(), strict=True):
+                if w != writer or not begun:
+                    writer, number, used, begun = w, 0, 0, True
+                elif overhead + n + used >= capacity and used:
+                    number, used = number + 1, 0
+                numbers.append(number)
+                offsets.append(used)
+                used += overhead + n
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64()), pa.array(offsets, pa.int64())], names=[*batch.schema.names, "number", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema)
-    out = ordered_fold(stored, ["writer"], ["seq"], start, step, f"{fields}, number long, offset long")
+    out = stored.repartition("writer").sortWithinPartitions("writer", "seq").mapInArrow(run, f"{fields}, number long, offset long")
     return out.withColumn("container", F.concat_ws("-", F.col("writer").cast("string"), F.lpad(F.col("number").cast("string"), 8, "0"))).drop("number")
 
 
