@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from chunkloom.functions.digests import SKETCH_WIDTH
 from chunkloom.operators.ordered import ordered_fold
-from chunkloom.operators.sketches import batch_latest, running_estimates
+from chunkloom.operators.sketches import running_least
+from chunkloom.sources.store import materialise
 
 
 class TopSet:
@@ -58,12 +59,13 @@ def replay(chunks: DataFrame, k: int, batch: int = 128, width: int = SKETCH_WIDT
     """batch, fp, n (its chunks there), est, served: where the batch's first chunk of a fingerprint was decided, `inside` by the
     set or `outer` by the index behind it. chunks: seq (1, 2, ...), fp.
 
-    Estimates and in-batch counts are windows and aggregations over all data (see sketches). What is left, a row for each
+    Estimates and in-batch counts are windows and aggregations over all data (see sketches); estimates are written once, so
+    that the rows of sketch cells are gone before the rest. What is left, a row for each
     batch and fingerprint, has an order by definition and is streamed through one task that holds k fingerprints.
     """
-    per_batch = chunks.groupBy(F.floor((F.col("seq") - 1) / batch).cast("long").alias("batch"), "fp").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq"))
-    est = batch_latest(running_estimates(chunks, width), batch)
-    rows = per_batch.join(est, ["batch", "fp"]).select(F.lit(0).alias("all"), "batch", "seq", "fp", "n", "est")
+    per_batch = chunks.groupBy(F.floor((F.col("seq") - 1) / batch).cast("long").alias("batch"), "fp").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq"), F.max("seq").alias("last"))
+    est = materialise(running_least(chunks, width))
+    rows = per_batch.join(est.withColumnRenamed("seq", "last"), "last").select(F.lit(0).alias("all"), "batch", "seq", "fp", "n", "est")
 
     class State:
         def __init__(self):

@@ -56,6 +56,12 @@ def running_estimates(chunks: DataFrame, width: int = SKETCH_WIDTH, depth: int =
     return counted.groupBy("seq").agg(F.first("fp").alias("fp"), F.min("running").alias("est"))
 
 
+def running_least(chunks: DataFrame, width: int = SKETCH_WIDTH, depth: int = SKETCH_DEPTH, block: int = 4096) -> DataFrame:
+    """seq, est: running_estimates without fingerprints, which the rows of cells needn't carry."""
+    cell = chunks.select("seq", F.explode(positions(F.col("fp"), width, depth)).alias("c")).select("seq", "c.row", "c.pos")
+    return running_count(cell, ["row", "pos"], "seq", F.floor((F.col("seq") - 1) / block)).groupBy("seq").agg(F.min("running").alias("est"))
+
+
 def batch_latest(estimated: DataFrame, batch: int) -> DataFrame:
     """batch, fp, est: the estimate at a fingerprint's last occurrence in each batch."""
     return estimated.groupBy(F.floor((F.col("seq") - 1) / batch).cast("long").alias("batch"), "fp").agg(F.max_by("est", "seq").alias("est"))

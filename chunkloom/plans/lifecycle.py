@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chunkloom.operators import chunking, frequency, leakage, schemes, statistics, storage
 from chunkloom.plans.strategies import configured
-from chunkloom.sources.store import Config, Store, carry_over, materialise, write_statistics
+from chunkloom.sources.store import Config, Store, carry_over, discard, materialise, write_statistics
 
 
 def ingest(store: Store, files: DataFrame, chunk_size: int | None = None, cutter: chunking.ContentCutter | None = None, capacity: int | None = None, index: str = "exact", config: Config | None = None) -> DataFrame:
@@ -39,6 +39,8 @@ def ingest(store: Store, files: DataFrame, chunk_size: int | None = None, cutter
         packed.agg(F.count(F.lit(1)).alias("unique_chunks"), F.coalesce(F.sum("size"), F.lit(0)).alias("unique_size"), F.coalesce(F.sum("length"), F.lit(0)).alias("compressed_size"))
     )
     stats = materialise(stats)
+    for made in (listed, packed):  # content that the containers have now
+        discard(made)
     store.write("statistics", materialise(carry_over(store.read("statistics"), stats)))
     seconds = time.monotonic() - began
     speed = statistics.throughput(stats.first()["logical_size"], seconds)

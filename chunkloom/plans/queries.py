@@ -110,7 +110,8 @@ def ingest_by_strategy(spark, d):
         back = lifecycle.restore(store).join(files.withColumnRenamed("data", "was"), "file_id")
         same = back.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("data") == F.col("was").cast("binary")).alias("equal_files"))
         counts = store.read("statistics").select("logical_chunks", F.when(F.lit(name in ("exact", "frequency")), F.col("unique_chunks")).alias("stored_chunks"))
-        one = store.read("index").agg(F.lit(name).alias("strategy"), F.countDistinct("fp").alias("different_chunks")).crossJoin(counts).crossJoin(same)
+        one = materialise(store.read("index").agg(F.lit(name).alias("strategy"), F.countDistinct("fp").alias("different_chunks")).crossJoin(counts).crossJoin(same))
+        store.drop()
         out = one if out is None else out.unionByName(one)
     return out
 

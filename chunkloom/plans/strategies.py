@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from chunkloom.functions.digests import SKETCH_WIDTH
 from chunkloom.operators import dedup, frequency, segments
 from chunkloom.operators.ordered import dense_sequence
-from chunkloom.sources.store import Config, materialise
+from chunkloom.sources.store import Config
 
 
 class IndexStrategy(Protocol):
@@ -56,7 +56,7 @@ class Frequency:
 
     def replayed(self, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(chunks numbered in the order of files and positions, the replay of their batches)"""
-        numbered = materialise(dense_sequence(chunks.select("file_id", F.col("seq").alias("position"), "fp", "size"), ["file_id", "position"], "seq"))
+        numbered = dense_sequence(chunks.select("file_id", F.col("seq").alias("position"), "fp", "size"), ["file_id", "position"], "seq")
         return numbered, frequency.replay(numbered, self.k, self.batch, self.width, self.gate)
 
     def apply(self, chunks: DataFrame) -> DataFrame:

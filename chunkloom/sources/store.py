@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,15 +31,22 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes df once and reads it again, which also ends its lineage. Its plan's shuffle files go as soon as it is written."""
-    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/made-{uuid.uuid4().hex}"
+@contextlib.contextmanager
+def _once(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile leaves no shuffle files."""
     was = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
         spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Writes df once and reads it again, which also ends its lineage. Its plan's shuffle files go as soon as it is written."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/made-{uuid.uuid4().hex}"
+    with _once(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -69,7 +78,8 @@ class Store:
 
     def _add(self, name: str, kind: str, df: DataFrame, partition_by: tuple[str, ...]) -> int:
         number = (self.versions(name, kind) or [0])[-1] + 1
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.root}/{name}/{kind}{number}")
+        with _once(self.spark):
+            df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.root}/{name}/{kind}{number}")
         return number
 
     def write(self, name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> int:
@@ -99,6 +109,10 @@ class Store:
                 if f != f"a{parts[-1]}":  # the last number stays taken
                     self._fs.delete(self._path(f"{self.root}/{name}/{f}"), True)
 
+    def drop(self) -> None:
+        """Deletes the store."""
+        self._fs.delete(self._path(self.root), True)
+
     def keep_last(self, name: str, n: int = 2) -> None:
         """Deletes all but the last n versions of a replaced table."""
         for v in self.versions(name)[:-n]:

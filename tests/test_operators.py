@@ -424,3 +424,17 @@ def test_locality_decides_alike_when_hashes_clash(spark, monkeypatch):
     monkeypatch.setattr(ordered, "_hashes", lambda key: (real(key)[0] % 8, real(key)[1]))
     got = segments.locality_decisions(df, 2, 3, 2).collect()
     assert {(r["file_id"], r["segment"], 6 * r["segment"] + i): u for r in got for i, u in enumerate(r["is_unique"])} == expected
+
+
+def test_ingest_keeps_no_copies_of_content(spark, tmp_path):
+    import glob
+    import os
+
+    files = spark.createDataFrame([(i, bytearray(np.random.default_rng(i).bytes(50_000))) for i in range(10)], "file_id int, data binary")
+    shared = stores.shared_dir(spark).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(f) for f in glob.glob(f"{shared}/made-*/*.parquet"))
+    was, s = size(), stores.Store(spark, f"file://{tmp_path}/store")
+    lifecycle.ingest(s, files, chunk_size=1000)
+    assert size() - was < 100_000  # of 500,000 bytes of content
+    s.drop()
+    assert not (tmp_path / "store").exists()
