@@ -405,7 +405,7 @@ def test_upload_writes_recipes_only(spark):
 
 
 def test_many_small_files_cost_little(spark):
-    """Folds walk batches; one pandas frame for each of 20,000 files took about a minute here in all."""
+    """Folds walk batches instead of making a pandas frame for each of 20,000 files."""
     t = spark.range(40_000).select((F.col("id") % 20_000).alias("file_id"), F.col("id").alias("seq"), F.sha2(F.col("id").cast("string"), 256).alias("fp"), F.lit(10).alias("size"))
     segments.content_segments(t.limit(10)).count()
     began = time.time()
